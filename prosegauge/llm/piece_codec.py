@@ -17,19 +17,26 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import re
 import struct
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from prosegauge.llm.common import map_batches
+from prosegauge.llm.common import map_batches, texts
 
 BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: Chunks whose ids a worker keeps; then it starts afresh.
 KEPT_CHUNKS = 400_000
+#: Chunks of more characters are encoded one by one and not kept.
+LONG = 48
+#: Fewer new chunks than this are encoded one by one.
+FEW = 64
 
 
 def _fields(data: bytes):
@@ -101,11 +108,12 @@ class Codec:
                 self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
         self.compatible: dict[int, bool] = {}
-        self.chunks: dict[str, list[int]] = {}
+        self.chunks: dict[str, tuple[int, ...]] = {}
         self.surface = [{NORMAL: p.encode("utf-8"), BYTE: b"", UNKNOWN: " ⁇ ".encode()}.get(kind, b"") for p, _, kind in self.pieces]
         self.byte_of = {i: b for b, i in enumerate(self.byte_ids)}
         self.digits = [str(i) for i in range(len(self.pieces))]
         self.run = lru_cache(4096)(self._run)
+        self.bulk = Bulk(self)
         for b, i in enumerate(self.byte_ids):
             self.surface[i] = bytes([b])
 
@@ -187,33 +195,46 @@ class Codec:
             out += self._known(chunk[start:])
         return out
 
-    def _kept(self, part: str) -> list[int]:
-        ids = self.chunk_ids(part)
-        if len(part) <= 64:
-            if len(self.chunks) >= KEPT_CHUNKS:
-                self.chunks.clear()
-            self.chunks[part] = ids
-        return ids
-
     def encode(self, text: str) -> list[int]:
-        """The library's ids of the text, without an end id.
+        """The library's ids of the text, without an end id."""
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """The library's ids of each text, without end ids.
 
         A chunk is a blank and what follows it, or what follows a line feed (which is a
-        byte token) up to the next blank or line feed.
+        byte token) up to the next blank or line feed. Chunks that aren't kept from earlier
+        texts are encoded together.
         """
+        parts = [self._parts(t) for t in texts]
+        kept = self.chunks
+        if len(kept) > KEPT_CHUNKS:
+            kept.clear()
+        missing = {p for p in set().union(*parts) if p not in kept}
+        missing.discard(BLANK)
+        kept.update(self._fresh(missing))
+        out = [self._joined(p) for p in parts]
+        for p in missing:
+            if len(p) > LONG:
+                del kept[p]
+        return out
+
+    def _parts(self, text: str) -> list[str]:
         if not text:
             return []
-        out: list[int] = []
-        kept, blank, feed = self.chunks.get, self.ids[BLANK], self.byte_ids[10:11] if "\n" not in self.chars else None
-        pending = 0
         text = BLANK + text.replace(" ", BLANK)
-        for part in text.replace(BLANK, "\0" + BLANK).replace("\n", "\0\n").split("\0")[1:] if feed and "\0" not in text else self._parts(text):
+        if "\0" in text or "\n" in self.chars:
+            return [BLANK + p for p in text[1:].split(BLANK)]
+        return text.replace(BLANK, "\0" + BLANK).replace("\n", "\0\n").split("\0")[1:]
+
+    def _joined(self, parts: list[str]) -> list[int]:
+        out: list[int] = []
+        kept, blank, pending = self.chunks, self.ids[BLANK], 0
+        for part in parts:
             if part == BLANK:
                 pending += 1
                 continue
-            ids = kept(part)
-            if ids is None:
-                ids = self._kept(part)
+            ids = kept[part]
             if pending:
                 if ids[0] == blank:
                     out += self.run(pending + 1)
@@ -226,9 +247,17 @@ class Codec:
             out += self.run(pending)
         return out
 
-    @staticmethod
-    def _parts(text: str) -> list[str]:
-        return [BLANK + p for p in text[1:].split(BLANK)]
+    def _fresh(self, chunks: set[str]) -> dict[str, tuple[int, ...]]:
+        """Ids of new chunks: short ones in the bulk alphabet together, the rest one by one."""
+        feed = tuple(self.byte_ids[10:11])
+        body = {p[1:] if p[0] == "\n" else p for p in chunks}
+        body.discard("")
+        plain = [p for p in body if len(p) <= LONG and self.bulk.plain(p)] if len(body) >= FEW else []
+        made = dict(zip(plain, self.bulk.encode(plain), strict=True))
+        for p in body - made.keys():
+            made[p] = tuple(self.chunk_ids(p))
+        made[""] = ()
+        return {p: feed + made[p[1:]] if p[0] == "\n" else made[p] for p in chunks}
 
     def decode(self, ids: list[int]) -> str:
         """The library's text of the ids: pieces joined, byte tokens as UTF-8, the dummy prefix off."""
@@ -270,6 +299,124 @@ class Codec:
         return "".join(out)
 
 
+class Bulk:
+    """The prefix tables of many chunks at once, over an alphabet of the first code points.
+
+    The automaton is a dense table of transitions; for each state it has the longest piece
+    that ends there, and for each piece the next shorter one that ends it. All chunks go
+    ahead one character at a time: each tries its pieces from the longest on until one is
+    compatible with the last token of the prefix before it.
+    """
+
+    REACH = 0x100
+
+    def __init__(self, codec: Codec):
+        self.codec = codec
+        letters = sorted(c for c in codec.chars if ord(c) < self.REACH) + [BLANK]
+        self.pattern = re.compile("[" + re.escape("".join(letters)) + "]+")
+        self.number = np.zeros(0x10000, np.uint8)
+        for k, c in enumerate(letters):
+            self.number[ord(c)] = k
+        if len(letters) > 256:
+            raise ValueError("alphabet too large")
+        inside = set(letters)
+        pieces = [p for p in codec.ids if (len(p) == 1 or p.strip(BLANK)) and inside.issuperset(p)]
+        children: list[dict[int, int]] = [{}]
+        depth_of, ends = [0], [-1]
+        for p in pieces:
+            at = 0
+            for c in p:
+                k = int(self.number[ord(c)])
+                to = children[at].get(k)
+                if to is None:
+                    to = children[at][k] = len(children)
+                    children.append({})
+                    depth_of.append(depth_of[at] + 1)
+                    ends.append(-1)
+                at = to
+            ends[at] = codec.ids[p]
+        n = len(children)
+        self.go = np.zeros((n, len(letters)), np.int32)
+        self.longest = np.full(n, -1, np.int32)
+        self.shorter = np.full(len(codec.pieces), -1, np.int32)
+        self.length = np.array([len(p) for p, _, _ in codec.pieces], np.int32)
+        fail = [0] * n
+        queue = [0]
+        for at in queue:
+            back = fail[at]
+            if at:
+                self.go[at] = self.go[back]
+                below = self.longest[back]
+                self.longest[at] = ends[at] if ends[at] >= 0 else below
+                if ends[at] >= 0:
+                    self.shorter[ends[at]] = below
+            for k, to in children[at].items():
+                fail[to] = int(self.go[at, k]) if at else 0
+                self.go[at, k] = to
+                queue.append(to)
+        self.alone = np.array([kind == NORMAL and len(codec.merged(p)) == 1 for p, _, kind in codec.pieces])
+        self.keys = np.full(1 << 20, -1, np.int64)
+        self.fit = np.zeros(1 << 20, bool)
+
+    def plain(self, chunk: str) -> bool:
+        return self.pattern.fullmatch(chunk) is not None
+
+    def fits(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Pair compatibility, from a table of answers that holds the last pair of each slot."""
+        pair = left.astype(np.int64) << 20 | right
+        slot = (pair * 0x9E3779B1 >> 7) & (len(self.keys) - 1)
+        new = np.flatnonzero(self.keys[slot] != pair)
+        out = self.fit[slot]
+        if len(new):
+            asked, where = np.unique(pair[new], return_inverse=True)
+            said = np.array([self.codec.fits(int(p) >> 20, int(p) & 0xFFFFF) for p in asked], bool)
+            out[new] = said[where]
+            at = (asked * 0x9E3779B1 >> 7) & (len(self.keys) - 1)
+            self.keys[at], self.fit[at] = asked, said
+            clash = self.keys[at] != asked
+            if clash.any():
+                self.fit[at[clash]] = [self.codec.compatible[int(k)] for k in self.keys[at[clash]]]
+        return out
+
+    def encode(self, chunks: list[str]) -> list[tuple[int, ...]]:
+        if not chunks:
+            return []
+        order = sorted(range(len(chunks)), key=lambda i: -len(chunks[i]))
+        size = np.array([len(chunks[i]) for i in order])
+        widest = int(size[0])
+        flat = np.frombuffer("".join(chunks[i] for i in order).encode("utf-16-le"), np.uint16)
+        codes = np.zeros((len(order), widest), np.uint8)
+        codes[np.arange(widest) < size[:, None]] = self.number[flat]
+        state = np.zeros(len(order), np.int32)
+        last = np.full((len(order), widest + 1), -1, np.int32)
+        for j in range(widest):
+            n = int((size > j).sum())
+            state[:n] = self.go[state[:n], codes[:n, j]]
+            todo, piece = np.arange(n), self.longest[state[:n]]
+            while len(todo):
+                before = j + 1 - self.length[piece]
+                first = before == 0
+                ok = np.empty(len(todo), bool)
+                ok[first] = self.alone[piece[first]]
+                rest = ~first
+                ok[rest] = self.fits(last[todo[rest], before[rest]], piece[rest])
+                last[todo[ok], j + 1] = piece[ok]
+                todo, piece = todo[~ok], self.shorter[piece[~ok]]
+        rows, at = np.arange(len(order)), size.copy()
+        found = np.zeros((len(order), widest), np.int32)
+        taken = np.zeros(len(order), np.int64)
+        while len(rows):
+            piece = last[rows, at[rows]]
+            taken[rows] += 1
+            found[rows, widest - taken[rows]] = piece
+            at[rows] -= self.length[piece]
+            rows = rows[at[rows] > 0]
+        out: list[tuple[int, ...]] = [()] * len(chunks)
+        for i, ids, k in zip(order, found.tolist(), taken.tolist(), strict=True):
+            out[i] = tuple(ids[widest - k :])
+        return out
+
+
 _CODECS: dict[str, Codec] = {}
 
 
@@ -300,13 +447,13 @@ def encoded(docs: DataFrame, model: str | bytes, id_column: str = "doc_id", text
         codec = codec_of(data)
 
         def work(batch: pa.RecordBatch) -> dict:
-            ids = [[*codec.encode(t or ""), codec.end] for t in batch.column(1).to_pylist()]
+            ids = [[*x, codec.end] for x in codec.encode_all(texts(batch))]
             return {id_column: batch.column(0), "ids": pa.array(ids, pa.list_(pa.int32()))}
 
         return work
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return map_batches(docs.select(id_column, text_column), make, f"{id_column} {kind}, ids array<int>")
+    return map_batches(docs.select(id_column, F.col(text_column).alias("text")), make, f"{id_column} {kind}, ids array<int>")
 
 
 def decoded(tokens: DataFrame, model: str | bytes, id_column: str = "doc_id") -> DataFrame:
@@ -335,8 +482,8 @@ def round_trip(docs: DataFrame, model: str | bytes, id_column: str = "doc_id", t
 
         def work(batch: pa.RecordBatch) -> dict:
             n, ids_digest, text_digest = [], [], []
-            for text in batch.column(1).to_pylist():
-                ids = [*codec.encode(text or ""), codec.end]
+            for ids in codec.encode_all(texts(batch)):
+                ids.append(codec.end)
                 n.append(len(ids))
                 ids_digest.append(hashlib.sha256(" ".join([digits[i] for i in ids]).encode()).hexdigest())
                 text_digest.append(hashlib.sha256(codec.decode(ids).encode("utf-8")).hexdigest())
@@ -346,5 +493,5 @@ def round_trip(docs: DataFrame, model: str | bytes, id_column: str = "doc_id", t
 
     kind = docs.schema[id_column].dataType.simpleString()
     return map_batches(
-        docs.select(id_column, text_column), make, f"{id_column} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+        docs.select(id_column, F.col(text_column).alias("text")), make, f"{id_column} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )
