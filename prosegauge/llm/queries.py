@@ -7,7 +7,7 @@ import os
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from prosegauge.llm import chat_format, media_columns, piece_codec
+from prosegauge.llm import chat_format, media_columns, personal_data, piece_codec
 from prosegauge.llm.common import table
 
 #: Where the SentencePiece model lies.
@@ -18,6 +18,20 @@ def op2_media(spark, sf_dir):
     return media_columns.features(media_columns.to_media(table(spark, sf_dir, "documents"))).drop("ok")
 
 
+def op3_personal(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    weights = personal_data.train(personal_data.vote_counts(docs))
+    found = personal_data.with_spans(docs, weights)
+    count = lambda k: F.size(F.filter("pii_base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select(
+        "doc_id",
+        *(count(k) for k in personal_data.BASE),
+        F.sha2(personal_data.written(F.col("pii_base")), 256).alias("base_sha256"),
+        personal_data.written(F.col("pii_spans")).alias("spans"),
+        F.size("pii_spans").cast("long").alias("n_spans"),
+    )
+
+
 def op6_chat(spark, sf_dir):
     said = r"\### Assistant: </turn> ok"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -31,6 +45,7 @@ def op10_pieces(spark, sf_dir):
 
 QUERIES = {
     "op2_media": op2_media,
+    "op3_personal": op3_personal,
     "op6_chat": op6_chat,
     "op10_pieces": op10_pieces,
 }
