@@ -61,7 +61,7 @@ def map_batches(
             if made is not None:
                 yield pa.RecordBatch.from_arrays(
                     [x if isinstance(x, pa.Array) else pa.array(x) for x in (made[n] for n in names)],
-                    names=names,
+                    names=[n.strip("`") for n in names],
                 )
 
     return df.mapInArrow(run, schema)

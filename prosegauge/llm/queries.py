@@ -7,8 +7,8 @@ import os
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from prosegauge.llm import chat_format, media_columns, personal_data, piece_codec
-from prosegauge.llm.common import table
+from prosegauge.llm import chat_format, language_id, media_columns, personal_data, piece_codec
+from prosegauge.llm.common import held_out, table
 
 #: Where the SentencePiece model lies.
 PIECE_MODEL = os.environ.get("PIECE_MODEL", public_tokenizers.path("piece_bpe_32k.model"))
@@ -39,6 +39,13 @@ def op6_chat(spark, sf_dir):
     return chat_format.read_back(chat_format.formatted(rows.unionByName(extra)))
 
 
+def op7_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs, ~held_out())
+    found = language_id.predicted(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op10_pieces(spark, sf_dir):
     return piece_codec.round_trip(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
@@ -47,6 +54,7 @@ QUERIES = {
     "op2_media": op2_media,
     "op3_personal": op3_personal,
     "op6_chat": op6_chat,
+    "op7_language": op7_language,
     "op10_pieces": op10_pieces,
 }
 
