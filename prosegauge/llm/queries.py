@@ -7,13 +7,17 @@ import os
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from prosegauge.llm import chat_format, language_id, media_columns, personal_data, piece_codec
+from prosegauge.llm import chat_format, language_id, media_columns, near_dedup, personal_data, piece_codec
 from prosegauge.llm.common import held_out, table
 
 #: Where the SentencePiece model lies.
 PIECE_MODEL = os.environ.get("PIECE_MODEL", public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op1_near_dedup(spark, sf_dir):
+    return near_dedup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_media(spark, sf_dir):
     return media_columns.features(media_columns.to_media(table(spark, sf_dir, "documents"))).drop("ok")
 
@@ -51,6 +55,7 @@ def op10_pieces(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_media": op2_media,
     "op3_personal": op3_personal,
     "op6_chat": op6_chat,
