@@ -7,7 +7,7 @@ import os
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from prosegauge.llm import chat_format, language_id, media_columns, near_dedup, personal_data, piece_codec
+from prosegauge.llm import chat_format, language_id, media_columns, near_dedup, personal_data, piece_codec, quality_rules
 from prosegauge.llm.common import held_out, table
 
 #: Where the SentencePiece model lies.
@@ -36,6 +36,13 @@ def op3_personal(spark, sf_dir):
     )
 
 
+def op5_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_rules.fit(docs, table(spark, sf_dir, "labels"), ~held_out())
+    found = quality_rules.scored(docs, model)
+    return found.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op6_chat(spark, sf_dir):
     said = r"\### Assistant: </turn> ok"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -58,6 +65,7 @@ QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_media": op2_media,
     "op3_personal": op3_personal,
+    "op5_quality": op5_quality,
     "op6_chat": op6_chat,
     "op7_language": op7_language,
     "op10_pieces": op10_pieces,
