@@ -7,7 +7,7 @@ import os
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from prosegauge.llm import chat_format, language_id, media_columns, near_dedup, personal_data, piece_codec, quality_rules
+from prosegauge.llm import chat_format, language_id, media_columns, near_dedup, page_text, personal_data, piece_codec, quality_rules
 from prosegauge.llm.common import held_out, table
 
 #: Where the SentencePiece model lies.
@@ -57,6 +57,10 @@ def op7_language(spark, sf_dir):
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op8_page_text(spark, sf_dir):
+    return page_text.extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op10_pieces(spark, sf_dir):
     return piece_codec.round_trip(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
@@ -68,6 +72,7 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op6_chat": op6_chat,
     "op7_language": op7_language,
+    "op8_page_text": op8_page_text,
     "op10_pieces": op10_pieces,
 }
 
