@@ -95,3 +95,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
         place = context.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
         context.setCheckpointDir(place)
     return df.checkpoint()
+
+
+#: Ids up to which a semi-join broadcasts them; 16 MB of longs.
+BROADCAST_IDS = 2_000_000
+
+
+def having_ids(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+    """Rows whose id is among ids: by broadcast while these are few, else by a shuffled join."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if few else ids, on, "left_semi")

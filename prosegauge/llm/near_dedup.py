@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosegauge.llm.common import checkpointed, map_batches
+from prosegauge.llm.common import checkpointed, having_ids, map_batches
 
 WORDS, LEAST = 5, 0.8
 ROWS, BANDS = 6, 42
@@ -224,10 +224,8 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     rows = items.select("item", "n", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").count().where("count > 1").select("key")
     grouped = checkpointed(rows.join(shared, "key"))
-    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).join(
-        grouped.select(F.col("item").alias("id")).distinct(), "id"
-    )
-    texts = checkpointed(texts.dropDuplicates(["id"]))
+    whole = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
+    texts = checkpointed(having_ids(whole, grouped.select(F.col("item").alias("id")).distinct(), "id").dropDuplicates(["id"]))
     fair = (F.col("n") >= least * F.col("n_a")) & (F.col("n_a") >= least * F.col("n"))
     tested = linked = label = None
     for turn in range(LEADER_ROUNDS + 1):

@@ -7,7 +7,7 @@ import os
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from prosegauge.llm import chat_format, language_id, media_columns, near_dedup, page_text, personal_data, piece_codec, quality_rules
+from prosegauge.llm import chat_format, decontaminate, language_id, licences, media_columns, near_dedup, page_text, personal_data, piece_codec, quality_rules
 from prosegauge.llm.common import held_out, table
 
 #: Where the SentencePiece model lies.
@@ -36,6 +36,10 @@ def op3_personal(spark, sf_dir):
     )
 
 
+def op4_licences(spark, sf_dir):
+    return licences.matches(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality_rules.fit(docs, table(spark, sf_dir, "labels"), ~held_out())
@@ -61,6 +65,10 @@ def op8_page_text(spark, sf_dir):
     return page_text.extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op9_contamination(spark, sf_dir):
+    return decontaminate.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_pieces(spark, sf_dir):
     return piece_codec.round_trip(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
@@ -69,10 +77,12 @@ QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_media": op2_media,
     "op3_personal": op3_personal,
+    "op4_licences": op4_licences,
     "op5_quality": op5_quality,
     "op6_chat": op6_chat,
     "op7_language": op7_language,
     "op8_page_text": op8_page_text,
+    "op9_contamination": op9_contamination,
     "op10_pieces": op10_pieces,
 }
 
@@ -99,4 +109,4 @@ SELECT conv_id, count(*) AS n_turns,
 FROM written GROUP BY conv_id
 """
 
-ORACLE_SQL = {"op6_chat": _OP6_SQL}
+ORACLE_SQL = {"op4_licences": licences.oracle_sql(), "op6_chat": _OP6_SQL}
