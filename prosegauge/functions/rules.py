@@ -43,8 +43,8 @@ def undefined_acronyms(text: Column, assumed: Column, audience: Column, dictiona
 
     def unknown(a: Column) -> Column:
         up = F.upper(a)
-        base = F.when(up.endswith("S") & (F.length(up) > 2), F.substring(up, 1, F.length(up) - 1)).otherwise(up)
-        defined = text.rlike(F.concat(quoted(a), F.lit(r"(?U:\s)*\([^)]{4,}\)"))) | text.rlike(F.concat(F.lit(r"\([^)]*"), quoted(a), F.lit(r"[^)]*\)")))
+        base = F.when(up.endswith("S") & (F.length(up) > 2), F.substring(up, F.lit(1), F.length(up) - 1)).otherwise(up)
+        defined = F.rlike(text, F.concat(quoted(a), F.lit(r"(?U:\s)*\([^)]{4,}\)"))) | F.rlike(text, F.concat(F.lit(r"\([^)]*"), quoted(a), F.lit(r"[^)]*\)")))
         return ~F.array_contains(known, F.regexp_replace(a, "s+$", "")) & ~F.array_contains(shouted, up) & ~F.array_contains(shouted, base) & ~defined
 
     found = F.array_distinct(F.regexp_extract_all(T.stripped_of_quotes(text), F.lit("(?U)" + X.ACRONYM), F.lit(0)))

@@ -131,17 +131,20 @@ def staccato_runs(text: Column, most_words: int = X.STACCATO_WORDS, least: int =
 
 def shape(text: Column) -> dict[str, Column]:
     """Cadence figures of the raw text (unrounded)."""
-    sents = F.filter(split_sentences(trimmed(text)), lambda s: s != "")
-    lens = F.transform(sents, lambda s: words(s).cast("double"))
-    n = F.size(sents)
-    total = F.aggregate(lens, F.lit(0.0), lambda a, x: a + x)
-    mean = total / F.greatest(n, F.lit(1))
-    spread = F.aggregate(lens, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
+    lens = F.transform(F.filter(split_sentences(trimmed(text)), lambda s: s != ""), words)
+    start = F.struct(*(F.lit(0).cast("long").alias(k) for k in ("n", "total", "squares", "short")))
+    step = lambda a, x: F.struct((a["n"] + 1).alias("n"), (a["total"] + x).alias("total"), (a["squares"] + x * x).alias("squares"), (a["short"] + F.when(x <= 4, 1).otherwise(0)).alias("short"))
+
+    def folded(end) -> Column:
+        return F.aggregate(lens, start, step, end)
+
+    n = F.size(lens)
+    spread = lambda a: F.sqrt((a["squares"] - a["total"] * a["total"] / a["n"]) / (a["n"] - 1)) / (a["total"] / a["n"])
     per_100 = lambda k: k / F.greatest(words(text), F.lit(1)) * 100
     return {
         "em_dash_per_100w": per_100(F.regexp_count(text, F.lit("—"))),
-        "sentence_cv": F.when(n > 1, F.sqrt(spread / (n - 1)) / mean).otherwise(0.0),
-        "frag_ratio": F.size(F.filter(lens, lambda x: x <= 4)) / F.greatest(n, F.lit(1)),
+        "sentence_cv": folded(lambda a: F.when(a["n"] > 1, spread(a)).otherwise(0.0)),
+        "frag_ratio": folded(lambda a: a["short"] / F.greatest(a["n"], F.lit(1))),
         "bold_per_100w": per_100(F.regexp_count(text, F.lit(r"\*\*[^*]+\*\*"))),
         "comma_per_sent": F.regexp_count(text, F.lit(",")) / F.greatest(n, F.lit(1)),
         "staccato_runs": staccato_runs(text),

@@ -26,7 +26,8 @@ def with_prior(rows: DataFrame, chain: str, step: str, response: str) -> DataFra
 def until_error(rows: DataFrame, chain: str, step: str, error: str = "error") -> DataFrame:
     """Steps up to and with the first failed one."""
     w = Window.partitionBy(chain).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.where(F.coalesce(F.max(F.col(error).isNotNull().cast("int")).over(w), F.lit(0)) == 0)
+    broken = F.coalesce(F.max(F.col(error).isNotNull().cast("int")).over(w), F.lit(0))
+    return rows.withColumn("_broken", broken).where("_broken = 0").drop("_broken")
 
 
 def chains(rows: DataFrame, chain: str, values: list[str], expected: DataFrame) -> DataFrame:
