@@ -176,26 +176,28 @@ def votes(span: Column) -> Column:
 def em(counts: dict[tuple, float], rounds: int = 50) -> dict[tuple, float]:
     """Probability that a candidate is real, by (kind, votes), from counts of such patterns.
 
-    Each labeler has a chance of voting 1, 0 or -1 given a real and given a false candidate,
-    shared by the kinds; each kind has its own share of real ones. Counts get one
-    pseudo-vote each way; the start trusts the majority of the votes.
+    Each labeler, when it votes, says 1 with one chance for a real and another for a false
+    candidate, shared by the kinds; a 0 tells nothing. Each kind has its own share of real
+    ones. Pseudo-votes lean towards honest labelers; the start trusts the majority.
     """
     post = {p: 1 / (1 + math.exp(-1.5 * sum(p[1:]))) for p in counts}
     for _ in range(rounds):
         share: dict[str, list[float]] = {}
-        table = [[{1: 2.0 if real else 0.5, 0: 1.0, -1: 0.5 if real else 2.0} for real in (0, 1)] for _ in LABELERS]
+        table = [[{1: 4.0 if real else 1.0, -1: 1.0 if real else 4.0} for real in (0, 1)] for _ in LABELERS]
         for p, n in counts.items():
             has = share.setdefault(p[0], [1.0, 1.0])
             for real, weight in ((0, n * (1 - post[p])), (1, n * post[p])):
                 has[real] += weight
                 for j, v in enumerate(p[1:]):
-                    table[j][real][v] += weight
+                    if v:
+                        table[j][real][v] += weight
         fresh = {}
         for p in counts:
             odds = math.log(share[p[0]][1] / share[p[0]][0])
             for j, v in enumerate(p[1:]):
                 real, false = table[j][1], table[j][0]
-                odds += math.log(real[v] / sum(real.values())) - math.log(false[v] / sum(false.values()))
+                if v:
+                    odds += math.log(real[v] / sum(real.values())) - math.log(false[v] / sum(false.values()))
             fresh[p] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
         moved = max((abs(fresh[p] - post[p]) for p in counts), default=0)
         post = fresh
@@ -209,11 +211,12 @@ def _inputs(pattern: tuple) -> list[float]:
     return [1.0, *(float(kind == k) for k in KINDS), *(float(v == 1) for v in said), *(float(v == -1) for v in said)]
 
 
-def train(counts: dict[tuple, float], rounds: int = 300, ridge: float = 1e-3) -> list[float]:
-    """Logistic weights of the span classifier, fitted to the probabilities of em()."""
-    post = em(counts)
-    total = sum(counts.values()) or 1.0
-    rows = [(_inputs(p), n / total, post[p]) for p, n in sorted(counts.items())]
+def train(counts: dict[tuple, float], rounds: int = 800, ridge: float = 1e-4) -> list[float]:
+    """Logistic weights of the span classifier, fitted to the probabilities of em(); each kind weighs the same, however rare."""
+    post, total = em(counts), {}
+    for p, n in counts.items():
+        total[p[0]] = total.get(p[0], 0.0) + n
+    rows = [(_inputs(p), n / total[p[0]] / len(total), post[p]) for p, n in sorted(counts.items())]
     weights = [0.0] * len(_inputs((KINDS[0], *([0] * len(LABELERS)))))
     for _ in range(rounds):
         slope = [ridge * w for w in weights]
