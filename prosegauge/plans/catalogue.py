@@ -89,17 +89,16 @@ def items(df: DataFrame) -> DataFrame:
 
 _ITEMS = "items AS MATERIALIZED (SELECT *, " + ", ".join(f"{e} AS {k}" for k, e in ITEM.items()) + ", CASE WHEN doc_id % 4 = 0 THEN ['Throughput', 'sla'] ELSE [] END AS assumed FROM docs)"
 _r = lambda c, n=6: F.round(c, n)
-_T = F.col("text")
 
 
 @query(f"WITH {DOCS} SELECT doc_id, {S.words('text')} AS n_words FROM docs")
 def word_counts(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", T.words(_T).alias("n_words"))
+    return docs(spark, sf_dir).select("doc_id", T.words(F.col("text")).alias("n_words"))
 
 
 @query(f"WITH {DOCS} SELECT doc_id, length({S.without_quotes('text')}) AS n_chars FROM docs")
 def strip_quoted_lengths(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", F.length(T.stripped_of_quotes(_T)).alias("n_chars"))
+    return docs(spark, sf_dir).select("doc_id", F.length(T.stripped_of_quotes(F.col("text"))).alias("n_chars"))
 
 
 _LONG = lambda names: " UNION ALL ".join(f"SELECT doc_id, '{k}' AS sign, \"{k}\" AS hits FROM slop WHERE \"{k}\" > 0" for k in names)
@@ -123,17 +122,17 @@ def pattern_hits(spark, sf_dir):
 
 @query(f"WITH {DOCS} SELECT doc_id, {S.triples('text')} AS triples FROM docs")
 def rule_of_three(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", F.size(T.triples(_T)).alias("triples"))
+    return docs(spark, sf_dir).select("doc_id", F.size(T.triples(F.col("text"))).alias("triples"))
 
 
 @query(f"WITH {DOCS} SELECT doc_id, {S.fragments('text')} AS fragments FROM docs")
 def noun_list_fragments(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", F.size(T.noun_fragments(_T)).alias("fragments"))
+    return docs(spark, sf_dir).select("doc_id", F.size(T.noun_fragments(F.col("text"))).alias("fragments"))
 
 
 @query(f"WITH {DOCS} SELECT doc_id, {S.staccato('text')} AS runs FROM docs")
 def staccato_runs(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", T.staccato_runs(_T).alias("runs"))
+    return docs(spark, sf_dir).select("doc_id", T.staccato_runs(F.col("text")).alias("runs"))
 
 
 @query(
@@ -145,7 +144,7 @@ def staccato_runs(spark, sf_dir):
     f"round({S.count('text', ',')} / greatest(len(lens), 1), 6) AS comma_per_sent, {S.staccato('text')} AS staccato_runs FROM cut"
 )
 def shape_metrics(spark, sf_dir):
-    made = T.shape(_T)
+    made = T.shape(F.col("text"))
     return docs(spark, sf_dir).select("doc_id", *((c if k == "staccato_runs" else _r(c)).alias(k) for k, c in made.items()))
 
 
@@ -170,13 +169,13 @@ def slop_leaderboard(spark, sf_dir):
 
 @query(f"WITH {DOCS} SELECT doc_id, {S.scaffold('text')[0]} AS headings, {S.scaffold('text')[1]} AS list_items FROM docs")
 def scaffold_counts(spark, sf_dir):
-    heads, rows = T.scaffold(_T)
+    heads, rows = T.scaffold(F.col("text"))
     return docs(spark, sf_dir).select("doc_id", heads.alias("headings"), rows.alias("list_items"))
 
 
 @query(f"WITH {DOCS}, {_ITEMS}, c AS (SELECT doc_id, 5 + budget % 30 AS budget, {S.scaffold('text')[0]} AS h, {S.scaffold('text')[1]} AS l FROM items) SELECT doc_id, {S.scaffold_score('h', 'l', 'budget')} AS score FROM c")
 def scaffold_score(spark, sf_dir):
-    heads, rows = T.scaffold(_T)
+    heads, rows = T.scaffold(F.col("text"))
     counted = items(docs(spark, sf_dir)).select("doc_id", (5 + F.col("budget") % 30).alias("budget"), heads.alias("h"), rows.alias("l"))
     return counted.select("doc_id", T.scaffold_score(F.col("h"), F.col("l"), F.col("budget")).alias("score"))
 
@@ -187,7 +186,7 @@ _ECONOMY = lambda facts, n: f"CASE WHEN {facts} <= 0 THEN 0.0::DOUBLE ELSE 10.0:
 
 @query(f"WITH {DOCS}, {_ITEMS} SELECT doc_id, round({_ECONOMY('delivered', S.words('text'))}, 6) AS score, round({_COVER('delivered')}, 6) AS coverage FROM items")
 def economy(spark, sf_dir):
-    n, facts, need = T.words(_T), F.col("delivered"), F.col("required")
+    n, facts, need = T.words(F.col("text")), F.col("delivered"), F.col("required")
     return items(docs(spark, sf_dir)).select("doc_id", _r(R.economy(n, facts, need, F.col("budget"))).alias("score"), _r(R.coverage(facts, need)).alias("coverage"))
 
 
@@ -214,7 +213,7 @@ _TERMS = (
 )
 def jargon(spark, sf_dir):
     given = (F.col("assumed"), F.col("audience"))
-    found = items(docs(spark, sf_dir)).select("doc_id", T.words(_T).alias("n"), F.size(R.undefined_acronyms(_T, *given)).alias("acronyms"), F.size(R.undefined_terms(_T, *given)).alias("terms"))
+    found = items(docs(spark, sf_dir)).select("doc_id", T.words(F.col("text")).alias("n"), F.size(R.undefined_acronyms(F.col("text"), *given)).alias("acronyms"), F.size(R.undefined_terms(F.col("text"), *given)).alias("terms"))
     return found.select("doc_id", "acronyms", "terms", _r(R.to_10(R.per_100(F.col("acronyms") + F.col("terms"), F.col("n")), X.JARGON_CEILING)).alias("score"))
 
 
@@ -223,7 +222,7 @@ _LOWERED = f"lowered AS MATERIALIZED (SELECT *, {_BARE} AS bare, lower({_BARE})
 
 @query(f"WITH {DOCS}, {_LOWERED}, c AS (SELECT doc_id, n, {S.term_hits('low', list(X.SHORT_FORMS))} AS swaps FROM lowered) SELECT doc_id, swaps, round({S.to_10('swaps', 'n', X.SIMPLE_CEILING)}, 6) AS score FROM c")
 def simple_words(spark, sf_dir):
-    found = docs(spark, sf_dir).select("doc_id", T.words(_T).alias("n"), F.lower(T.stripped_of_quotes(_T)).alias("low")).select("doc_id", "n", R.swaps(F.col("low")).alias("swaps"))
+    found = docs(spark, sf_dir).select("doc_id", T.words(F.col("text")).alias("n"), F.lower(T.stripped_of_quotes(F.col("text"))).alias("low")).select("doc_id", "n", R.swaps(F.col("low")).alias("swaps"))
     return found.select("doc_id", "swaps", _r(R.to_10(R.per_100(F.col("swaps"), F.col("n")), X.SIMPLE_CEILING)).alias("score"))
 
 
@@ -235,7 +234,7 @@ _GRAMMAR = " + ".join(S.any_case("bare", p) for p in X.FILLER_GRAMMAR)
     f"SELECT doc_id, padding, pretentious, euphemism, grammar, round({S.to_10('(padding + pretentious + grammar + 3 * euphemism)', 'n', X.FILLER_CEILING)}, 6) AS score FROM c"
 )
 def filler(spark, sf_dir):
-    bare = docs(spark, sf_dir).select("doc_id", T.words(_T).alias("n"), T.stripped_of_quotes(_T).alias("bare"))
+    bare = docs(spark, sf_dir).select("doc_id", T.words(F.col("text")).alias("n"), T.stripped_of_quotes(F.col("text")).alias("bare"))
     found = bare.select("doc_id", "n", *(c.alias(k) for k, c in R.filler_parts(F.col("bare")).items()))
     parts = {k: F.col(k) for k in ("padding", "pretentious", "euphemism", "grammar")}
     return found.select("doc_id", *parts, _r(R.to_10(R.per_100(R.filler_weight(parts), F.col("n")), X.FILLER_CEILING)).alias("score"))
@@ -405,7 +404,7 @@ def steps(spark, sf_dir):
 def _drifts(spark, sf_dir):
     rows = steps(spark, sf_dir)
     worn = sentences.erosion(sentences.sentence_rows(rows)).select("doc_id", "erosion")
-    valued = rows.join(worn, "doc_id", "left").select("conv_id", "checkpoint", F.coalesce("erosion", F.lit(0.0)).alias("erosion"), T.words(_T).cast("double").alias("words"))
+    valued = rows.join(worn, "doc_id", "left").select("conv_id", "checkpoint", F.coalesce("erosion", F.lit(0.0)).alias("erosion"), T.words(F.col("text")).cast("double").alias("words"))
     expected = read(spark, sf_dir, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.count("*").alias("expected"))
     return trajectory.chains(valued, "conv_id", ["erosion", "words"], expected)
 
