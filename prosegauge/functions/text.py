@@ -13,6 +13,11 @@ from prosegauge.functions import fixed as X
 _U = "(?dU)"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, also where body uses it inside other lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(_U + pattern))
 
@@ -64,9 +69,11 @@ def sentences(text: Column) -> Column:
 
 def shingles(sentence: Column, n: int = X.SHINGLE_WORDS) -> Column:
     """Distinct runs of n lower-case ASCII words; none in shorter sentences."""
-    w = F.regexp_extract_all(F.lower(sentence), F.lit("[a-z0-9]+"), F.lit(0))
-    made = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))
-    return F.when(F.size(w) >= n, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
+    def runs(w: Column) -> Column:
+        made = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(F.size(w) >= n, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
+
+    return let(F.regexp_extract_all(F.lower(sentence), F.lit("[a-z0-9]+"), F.lit(0)), runs)
 
 
 def first_answer(text: Column) -> Column:

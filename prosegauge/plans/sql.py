@@ -160,7 +160,9 @@ def clone_ctes(source: str, key: str, out: str = "clones") -> str:
     return (
         f"{out}_w AS (SELECT {key}, pos, regexp_extract_all(lower(sentence), '[a-z0-9]+') AS w FROM {source}), "
         f"{out}_h AS MATERIALIZED (SELECT {key}, pos, {sh} AS sh FROM {out}_w WHERE len(w) >= {X.SHINGLE_WORDS}), "
-        f"{out}_x AS MATERIALIZED (SELECT {key}, pos, len(sh) AS n, unnest(sh) AS shingle FROM {out}_h), "
-        f"{out} AS MATERIALIZED (SELECT DISTINCT {key}, pos FROM (SELECT a.{key}, a.pos, b.pos AS before FROM {out}_x a JOIN {out}_x b ON a.{key} = b.{key} AND a.shingle = b.shingle AND b.pos < a.pos "
-        f"GROUP BY a.{key}, a.pos, b.pos, a.n, b.n HAVING count(*) >= {X.CLONE_SHARE} * least(a.n, b.n)))"
+        f"{out}_f AS MATERIALIZED (SELECT {key}, list_sort(sh) AS sh, min(pos) AS pos FROM {out}_h GROUP BY {key}, list_sort(sh)), "
+        f"{out}_x AS MATERIALIZED (SELECT {key}, pos, len(sh) AS n, unnest(sh) AS shingle FROM {out}_f), "
+        f"{out} AS MATERIALIZED (SELECT {key}, pos FROM (SELECT a.{key}, a.pos, b.pos AS before FROM {out}_x a JOIN {out}_x b ON a.{key} = b.{key} AND a.shingle = b.shingle AND b.pos < a.pos "
+        f"GROUP BY a.{key}, a.pos, b.pos, a.n, b.n HAVING count(*) >= {X.CLONE_SHARE} * least(a.n, b.n)) "
+        f"UNION SELECT h.{key}, h.pos FROM {out}_h h JOIN {out}_f f ON h.{key} = f.{key} AND list_sort(h.sh) = f.sh AND h.pos > f.pos)"
     )
