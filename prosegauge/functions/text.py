@@ -83,14 +83,16 @@ def first_answer(text: Column) -> Column:
 
 def term_hits(lowered: Column, terms: list[str]) -> Column:
     """Occurrences of all terms, each counted on its own; a text without any is ruled out by one test."""
-    gate = "(?:" + "|".join(X.escaped(t) for t in terms) + ")"
     each = (F.regexp_count(lowered, F.lit("(?U)" + X.term_pattern(t))) for t in terms)
-    return F.when(lowered.rlike(gate), reduce(lambda a, b: a + b, each)).otherwise(F.lit(0))
+    return F.when(lowered.rlike(X.any_of(terms)), reduce(lambda a, b: a + b, each)).otherwise(F.lit(0))
 
 
-def phrasing_hits(stripped: Column, name: str) -> Column:
+def phrasing_hits(stripped: Column, lowered: Column, name: str) -> Column:
+    """Matches of a phrasing pattern; texts that lack its words are ruled out first."""
     pattern = X.PHRASING[name] + (rf"(?!{X.AGENT})" if name == "agentless_passive" else "")
-    return count_any_case(stripped, pattern)
+    found = count_any_case(stripped, pattern)
+    needs = X.PHRASING_NEEDS.get(name)
+    return F.when(lowered.rlike(needs), found).otherwise(F.lit(0)) if needs else found
 
 
 def triples(text: Column) -> Column:
@@ -158,13 +160,15 @@ def shape(text: Column) -> dict[str, Column]:
     }
 
 
-def slop_counts(text: Column) -> dict[str, Column]:
-    """Counts of all lexical, phrasing and structural signs, quotes left out."""
-    bare = stripped_of_quotes(text)
-    low = F.lower(bare)
+def slop_counts(text: Column, bare: Column, low: Column) -> dict[str, Column]:
+    """Counts of all lexical, phrasing and structural signs, given the text, the text without quotes and that in lower case.
+
+    The latter two should be columns of an earlier projection: the counters read them often.
+    """
+    some = low.rlike(X.any_of([t for terms in X.category_terms().values() for t in terms]))
     return (
-        {k: term_hits(low, t) for k, t in X.category_terms().items()}
-        | {k: phrasing_hits(bare, k) for k in X.PHRASING}
+        {k: F.when(some, term_hits(low, t)).otherwise(F.lit(0)) for k, t in X.category_terms().items()}
+        | {k: phrasing_hits(bare, low, k) for k in X.PHRASING}
         | {"rule_of_three": F.size(triples(bare)), "noun_list_fragment": F.size(noun_fragments(bare)), "staccato": staccato_runs(text)}
     )
 

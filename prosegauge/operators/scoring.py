@@ -14,7 +14,9 @@ RULES = tuple(f"rule{k}" for k in range(1, 8))
 def with_slop(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """Adds n_words, the struct of counts, slop (per 1,000 words, unrounded) and slop_tax."""
     text = F.col(text_column)
-    counted = docs.withColumn("counts", F.struct(*(c.cast("int").alias(k) for k, c in T.slop_counts(text).items()))).withColumn("n_words", T.words(text))
+    ready = docs.withColumn("_bare", T.stripped_of_quotes(text)).withColumn("_low", F.lower("_bare"))
+    made = T.slop_counts(text, F.col("_bare"), F.col("_low"))
+    counted = ready.withColumn("counts", F.struct(*(c.cast("int").alias(k) for k, c in made.items()))).withColumn("n_words", T.words(text)).drop("_bare", "_low")
     names = [f.name for f in counted.schema["counts"].dataType.fields]
     rate = T.slop_rate({k: F.col(f"counts.{k}") for k in names}, F.col("n_words"))
     return counted.withColumn("slop", rate).withColumn("slop_tax", T.slop_tax(F.col("slop")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from prosegauge.functions import fixed as X
 from prosegauge.functions import text as T
+from prosegauge.operators.scoring import with_slop
 
 
 def sentence_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -46,8 +47,7 @@ def clones(rows: DataFrame, id_column: str = "doc_id") -> DataFrame:
 
 def verbosity(rows: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """Share of sentences that are clones or have a slop hit on their own (unrounded)."""
-    hits = T.slop_counts(F.col("sentence"))
     # the weighted rate counts once it rounds to 0.1 or more
-    sloppy = rows.withColumn("sloppy", F.round(T.slop_rate(hits, T.words(F.col("sentence"))), 1) > 0)
+    sloppy = with_slop(rows, "sentence").select(id_column, "pos", (F.round("slop", 1) > 0).alias("sloppy"))
     marked = sloppy.join(clones(rows, id_column).withColumn("clone", F.lit(True)), [id_column, "pos"], "left")
     return marked.groupBy(id_column).agg(F.avg((F.coalesce("clone", F.lit(False)) | F.col("sloppy")).cast("int")).alias("verbosity"))
