@@ -160,12 +160,17 @@ def shape(text: Column) -> dict[str, Column]:
     }
 
 
-def slop_counts(text: Column, bare: Column, low: Column) -> dict[str, Column]:
-    """Counts of all lexical, phrasing and structural signs, given the text, the text without quotes and that in lower case.
+def has_terms(low: Column) -> Column:
+    """Whether a term of any category may occur."""
+    return low.rlike(X.any_of([t for terms in X.category_terms().values() for t in terms]))
 
-    The latter two should be columns of an earlier projection: the counters read them often.
+
+def slop_counts(text: Column, bare: Column, low: Column, some: Column) -> dict[str, Column]:
+    """Counts of all lexical, phrasing and structural signs.
+
+    Given are the text, the text without quotes, that in lower case, and has_terms() of it.
+    The latter three should be columns of an earlier projection: the counters read them often.
     """
-    some = low.rlike(X.any_of([t for terms in X.category_terms().values() for t in terms]))
     return (
         {k: F.when(some, term_hits(low, t)).otherwise(F.lit(0)) for k, t in X.category_terms().items()}
         | {k: phrasing_hits(bare, low, k) for k in X.PHRASING}
