@@ -92,18 +92,22 @@ purpose, commercial or non-commercial, and by any means."""),
 )
 
 
+# Words so common in English texts that they make poor gate words.
+COMMON = frozenset("a an and any are as at be by can do for from general in is it may not of on or public the this to under use with you".split())
+
+
 def bigrams_of(template: str) -> list[str]:
     words = re.sub(r"[^a-z0-9]+", " ", template.lower()).split()
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
 def gate_words(least: float = LEAST) -> list[str]:
-    """Words such that each match of each template holds one of them (see above); longest first for each template."""
+    """Words such that each match of each template holds one of them (see above); common words last, then longest first for each template."""
     chosen: set[str] = set()
     for _, _, template in TEMPLATES:
         pairs = bigrams_of(template)
         need = len(pairs) - math.ceil(least / (2 - least) * len(pairs) - 1e-9) + 1
-        for word in sorted({w for p in pairs for w in p.split()}, key=lambda w: (w not in chosen, -len(w), w)):
+        for word in sorted({w for p in pairs for w in p.split()}, key=lambda w: (w not in chosen, w in COMMON, -len(w), w)):
             if sum(bool(chosen & set(p.split())) for p in pairs) >= need:
                 break
             chosen.add(word)
