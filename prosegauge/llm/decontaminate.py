@@ -1,13 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
 Every three-word sequence of a benchmark item is a possible seed. One pass over the whole
 corpus finds the places where documents have such sequences: a bit field of fixed size rules
-out most others, an exact join the rest. How many documents have each seed is counted over
-all of them; an item keeps the seeds that are rare, measured by the item's own lower
-quartile, so that an item that leaked into many documents doesn't lose its seeds. Documents
-and items that share a kept seed are candidates. Around each stretch of shared seeds the
-words are aligned locally (match 2, mismatch -1, gap -1); the score divided by the item's
-best possible score tells a copy, edited or not, from chance.
+out most others, an exact join the rest. All seeds count, however many documents have them:
+documents and items that share two are candidates. A candidate or a stretch of it with too few
+of the item's words for the bound is passed over, as each point of the score needs them. Around
+each stretch of shared seeds the words are aligned locally (match 2, mismatch -1, gap -1); the
+score divided by the item's best possible score tells a copy, edited or not, from chance.
 
 Null texts count as empty. Items under three words are one seed. Repeated rows (of either
 table) each get their results; empty tables give no rows.
@@ -111,7 +110,7 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def stretches(doc_at: np.ndarray, item_at: np.ndarray, size: int) -> list[tuple[int, int]]:
+def stretches(doc_at: np.ndarray, item_at: np.ndarray | int, size: int) -> list[tuple[int, int]]:
     """Word ranges of the document that could hold the item, from the places of shared seeds; overlapping ranges are joined."""
     margin = size // 2 + 4
     lo, hi = doc_at - item_at - margin, doc_at - item_at + size + margin
@@ -124,6 +123,11 @@ def stretches(doc_at: np.ndarray, item_at: np.ndarray, size: int) -> list[tuple[
     return [(a, b) for a, b in out]
 
 
+def _may_hold(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether b has so many words of a that an alignment can reach the bound."""
+    return bool(np.isin(a, b).sum() >= least * len(a))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text", least: float = LEAST) -> DataFrame:
     """(id, item, score, start, end): documents that hold an item; start and end are word places."""
     corpus = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("doc"), F.col(text_column).alias("text"))
@@ -131,27 +135,25 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", te
     every = checkpointed(seeds(benchmark, item_column, item_text))
     wanted = every.select("seed").distinct()
     hits = checkpointed(_hits(corpus, wanted).join(wanted, "seed", "left_semi"))
-    spread = hits.select("doc", "seed").distinct().groupBy("seed").agg(F.count("*").alias("df"))
-    known = checkpointed(every.join(spread, "seed"))
-    usual = known.groupBy("item").agg(F.percentile_approx("df", 0.25, 1000).alias("quarter"))
-    rare = known.join(usual, "item").where(F.col("df") <= 4 * F.col("quarter") + 4).select("item", "seed", F.col("at").alias("item_at"))
-    shared = hits.join(rare, "seed").groupBy("doc", "item").agg(F.collect_list(F.struct("at", "item_at")).alias("places"))
+    places = (F.collect_set("item_at").alias("seen"), F.collect_set(F.col("at") - F.col("item_at")).alias("offsets"))
+    shared = hits.join(every.withColumnRenamed("at", "item_at"), "seed").groupBy("doc", "item").agg(*places)
     # two different seeds at least, unless the item has no more
     size = every.groupBy("item").agg(F.max("at").alias("last"))
-    shared = shared.join(size, "item").where((F.size(F.array_distinct("places.item_at")) >= 2) | (F.col("last") < 4)).drop("last")
+    shared = shared.join(size, "item").where((F.size("seen") >= 2) | (F.col("last") < 4)).drop("last", "seen")
     shared = checkpointed(shared)
     held = having_ids(corpus, shared.select("doc").distinct(), "doc").dropDuplicates(["doc", "text"])
-    pairs = shared.join(items.dropDuplicates(), "item").join(held, "doc").select("doc", "item", "places", "item_text", "text")
+    pairs = shared.join(items.dropDuplicates(), "item").join(held, "doc").select("doc", "item", "offsets", "item_text", "text")
 
     def make():
         def work(batch: pa.RecordBatch) -> dict:
             out: list[tuple] = []
             columns = (batch.column(i).to_pylist() for i in range(5))
-            for doc, item, places, wanted_text, text in zip(*columns, strict=True):
+            for doc, item, offsets, wanted_text, text in zip(*columns, strict=True):
                 a, b = word_hashes(wanted_text or ""), word_hashes(text or "")
-                at = np.array([(p["at"], p["item_at"]) for p in places]).reshape(-1, 2)
                 found = (0, 0, 0)
-                for lo, hi in stretches(at[:, 0], at[:, 1], len(a)):
+                for lo, hi in stretches(np.array(offsets), 0, len(a)) if _may_hold(a, b, least) else ():
+                    if not _may_hold(a, b[lo:hi], least):
+                        continue
                     score, start, end = align(a, b[lo:hi])
                     if score > found[0]:
                         found = (score, lo + start, lo + end)

@@ -175,6 +175,16 @@ def test_decontamination(spark):
     assert decontaminate.matches(docs, items.limit(0)).count() == 0 and decontaminate.matches(docs.limit(0), items).count() == 0
 
 
+def test_decontamination_sees_many_edited_copies_beside_an_exact_one(spark):
+    first, second = ([f"{WORDS[i % 24]}{i + k}" for i in range(40)] for k in (0, 50))
+    edited = ["swapped" if i % 6 == 5 else w for i, w in enumerate(first)]
+    texts = [(1, first), (2, second), *((10 + i, edited) for i in range(30)), *((100 + i, second[:24]) for i in range(30))]
+    docs = documents(spark, [(i, f"filler {i} before {' '.join(t)} after", "en") for i, t in texts] + [(500, LONG, "en")])
+    items = spark.createDataFrame([(1, " ".join(first)), (2, " ".join(second))], "item_id long, text string")
+    want = {(1, 1), (2, 2), *((10 + i, 1) for i in range(30)), *((100 + i, 2) for i in range(30))}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, items).collect()} == want
+
+
 def test_piece_frames(spark, odd):
     tokens = piece_codec.encoded(odd, PIECE_MODEL)
     back = sorted((str(r.doc_id), r.text) for r in piece_codec.decoded(tokens, PIECE_MODEL).collect())
