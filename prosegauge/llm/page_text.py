@@ -4,7 +4,9 @@ Each page's containers are scored by the text of their own paragraphs, less what
 text. The best ones vote with their generalised path (tags with classes, digits and hash-like
 endings removed) and Spark sums the votes by host. Every page is then extracted with the
 winning paths of its host: of those that the page has, the one with the highest score on the
-page; a page that has none uses its own best container.
+page; a page that has none uses its own best container. From there the text is widened to the
+outermost article or main around it, or else to the highest ancestor below body that adds text
+which isn't mostly links; headings that stand directly in body are kept.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
 comments are left out wherever they stand. A block's white space becomes single blanks; two
@@ -46,6 +48,7 @@ _COMMENT = re.compile(r"(?:.*[-_])?(?:comments?|repl(?:y|ies)|disqus|respond)(?:
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _BREAK = re.compile(r"\0(?:\s*\0)+")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 WHOLE = frozenset(("html", "body", "main", "article"))
 #: Votes of a page: its best containers.
 VOTES = 3
@@ -211,8 +214,36 @@ def best_paths(root: Node, n: int = VOTES) -> list[tuple[str, float]]:
     return [(p, s / total) for p, s in sorted(found.items(), key=lambda x: (-x[1], x[0]))[:n] if s > 0]
 
 
-def text_under(root: Node, path: str) -> str:
-    """Text of the outermost elements with that path: blocks joined by line feeds, in page order."""
+def widened(root: Node, path: str) -> set[int]:
+    """Ids of the nodes that hold the whole article whose best container has that path (see above)."""
+    nodes = [n for n in _nodes(root) if not n.noise and n.tag not in INLINE]
+    sums = {id(n): max(0, n.own) - 2 * n.links for n in nodes}
+    for n in reversed(nodes):
+        up = n.parent
+        while up is not None and up.tag in INLINE:
+            up = up.parent
+        if up is not None:
+            sums[id(up)] += sums[id(n)]
+    chosen = set()
+    for n in nodes:
+        if n.path != path:
+            continue
+        top, last = n, sums[id(n)]
+        whole = n if n.tag in ("article", "main") else None
+        up = n.parent
+        while up is not None and up.tag not in ("html", "body", "#root"):
+            if up.tag not in INLINE:
+                if up.tag in ("article", "main"):
+                    whole = up
+                if sums[id(up)] > last:
+                    top, last = up, sums[id(up)]
+            up = up.parent
+        chosen.add(id(whole or top))
+    return chosen | {id(n) for n in nodes if n.tag in HEADINGS and n.parent.tag in ("html", "body", "#root")}
+
+
+def text_under(root: Node, chosen: set[int]) -> str:
+    """Text of the outermost of these elements: blocks joined by line feeds, in page order."""
     blocks: list[str] = []
     run: list[str] = []
 
@@ -232,7 +263,7 @@ def text_under(root: Node, path: str) -> str:
                 if item.tag not in INLINE:
                     todo.append((None, inside))
                 continue
-            within = inside or (item.path == path and item.tag not in INLINE)
+            within = inside or id(item) in chosen
             if within and not inside:
                 flush()
             todo += [(x, within) for x in reversed(item.parts)]
@@ -252,7 +283,7 @@ def extract(page: str | None, winners: list[str] | None = None) -> str:
     found = scores(root)
     own = sorted(((-s, p) for p, s in found.items() if s > 0))
     for _, path in [x for x in own if x[1] in set(winners or ())] + own[:1]:
-        said = text_under(root, path)
+        said = text_under(root, widened(root, path))
         if said:
             return said
     return ""

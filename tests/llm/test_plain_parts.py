@@ -111,6 +111,16 @@ def test_page_text():
     assert html.unescape("&am") == page_text.extract("<p>&am</p>")
 
 
+def test_page_text_keeps_heading_lead_and_all_sections():
+    a, b, c = ("<p>" + f"{w} text goes on. " * n + "</p>" for w, n in (("Lead", 4), ("First", 40), ("Second", 30)))
+    plain = lambda *parts: "\n".join(" ".join(x.removeprefix("<p>").removesuffix("</p>").split()) for x in parts)
+    parts = f'<h1>Title</h1><div class="lead">{a}</div><section class="a">{b}</section><section class="b">{c}</section>'
+    side = '<div class="sidebar"><p>Other words.</p></div>'
+    for page in (f"<body><article>{parts}</article>{side}</body>", f'<body><div class="content">{parts}{side}</div></body>', f"<main><h1>Title</h1><article>{parts.removeprefix('<h1>Title</h1>')}</article></main>"):
+        path = next(p for p, _ in page_text.best_paths(page_text.parse(page)))
+        assert page_text.extract(page) == page_text.extract(page, [path]) == plain("Title", a, b, c)
+
+
 def test_em_and_classifier_tell_real_from_false():
     counts = {("secret", 1, 0, 1, 0, 1): 50.0, ("secret", -1, 0, 0, 0, -1): 60.0, ("email", 1, 1, 0, 0, 0): 40.0}
     post = personal_data.em(counts)
