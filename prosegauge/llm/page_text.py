@@ -9,7 +9,9 @@ outermost article or main around it, or else to the highest ancestor below body
 which isn't mostly links; headings that stand directly in body are kept.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments are left out wherever they stand. A block's white space becomes single blanks; two
+comments are left out wherever they stand. Names tell them if all their words are such words or
+usual additions; ids of headings and anchors, and of sections inside articles, tell nothing, as
+they are often made from titles. A block's white space becomes single blanks; two
 or more <br> in a row end a block. Null pages count as empty and give an empty text; pages
 without a host share one. Repeated rows each give their text.
 """
@@ -36,11 +38,18 @@ DROPPED = frozenset("nav footer aside form script style noscript template iframe
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 #: An open element (left) ends when one of the others begins.
 ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
-#: Words in class names and ids of what isn't the article.
+#: Words in class names and ids of what isn't the article, and what may stand beside them.
 _NOISE = re.compile(
-    r"(?:.*[-_ ])?(?:ads?|adverts?|advertisements?|advertising|adsense|banners?|promos?|sponsor(?:ed|s)?|cookies?|consent|gdpr|notices?|alerts?|sidebars?|menus?|nav|navbar|navigation|"
+    r"ads?|adverts?|advertisements?|advertising|adsense|banners?|promos?|sponsor(?:ed|s)?|cookies?|consent|gdpr|notices?|alerts?|sidebars?|menus?|nav|navbar|navigation|"
     r"breadcrumbs?|footers?|headers?|masthead|topbar|comments?|commentlist|disqus|respond|repl(?:y|ies)|share|sharing|social|related|recommend(?:ed|ations)?|newsletter|subscribe|subscription|"
-    r"signup|login|popup|modal|overlay|widgets?|pagination|pager|toolbar|search|skip|copyright|tags?list|toc)(?:[-_ ].*)?",
+    r"signup|login|popup|modal|overlay|widgets?|pagination|pager|toolbar|search|skip|copyright|taglist|tagslist|toc",
+    re.I,
+)
+_BESIDE = re.compile(
+    r"\w{0,2}|\w*\d\w*|site|page|main|global|top|bottom|left|right|upper|lower|primary|secondary|sticky|fixed|floating|mobile|desktop|box|bar|block|bloc|area|list|wrap|wrapper|container|inner|outer|section|"
+    r"content|contents|post|posts|article|articles|story|stories|entry|news|blog|item|items|link|links|button|buttons|btn|icon|icons|form|field|input|panel|pane|unit|slot|zone|space|row|column|col|module|"
+    r"component|group|holder|text|title|heading|message|msg|info|legal|privacy|policy|google|facebook|twitter|user|users|reader|readers|thread|feed|media|tags|tag|dropdown|toggle|trigger|drawer|tray|overview|"
+    r"email|mail|sign|up|back|to|the|no|js|wp|widget|custom|dynamic|sponsored|display|leaderboard|skyscraper|rectangle|footer|header|more|also|popular|latest|recent|table|of|contents|results?|bottombar|home",
     re.I,
 )
 _WANTED = re.compile(r"(?:with|has|no|without)[-_].*|(?:article|post|entry|story|page|content)[-_]?(?:header|headline)|(?:.*[-_])?(?:header|nav)[-_](?:fixed|sticky|offset)", re.I)
@@ -77,12 +86,19 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)} if raw.strip() else {}
 
 
+def _names_noise(name: str) -> bool:
+    words = re.split(r"[-_ ]+", name)
+    return any(_NOISE.fullmatch(w) for w in words) and all(_NOISE.fullmatch(w) or _BESIDE.fullmatch(w) for w in words)
+
+
 def _is_noise(tag: str, attributes: dict[str, str], inside_article: bool) -> bool:
     if tag in DROPPED or (tag == "header" and not inside_article):
         return True
-    names = [*attributes.get("class", "").split(), attributes.get("id", "")]
-    test = _COMMENT if tag in WHOLE else _NOISE
-    if any(n and test.fullmatch(n) and not _WANTED.fullmatch(n) for n in names):
+    names = attributes.get("class", "").split()
+    if tag not in HEADINGS and tag != "a" and not (tag == "section" and inside_article):
+        names.append(attributes.get("id", ""))
+    test = _COMMENT.fullmatch if tag in WHOLE else _names_noise
+    if any(n and test(n) and not _WANTED.fullmatch(n) for n in names):
         return True
     if tag in WHOLE:
         return False

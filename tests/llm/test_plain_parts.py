@@ -121,6 +121,17 @@ def test_page_text_keeps_heading_lead_and_all_sections():
         assert page_text.extract(page) == page_text.extract(page, [path]) == plain("Title", a, b, c)
 
 
+def test_page_text_keeps_titles_with_noise_words_in_their_ids():
+    said = "Words of this part are many enough. " * 5
+    ids = ("related-work", "search-algorithms", "binary-search", "http-headers", "social-security", "sharing-data", "market-share")
+    parts = "".join(f'<section id="{i}"><h2 id="{i}">{i}</h2><p>{said}</p></section>' for i in ids)
+    want = "\n".join(f"{i}\n{said.strip()}" for i in ids)
+    assert page_text.extract(f"<article>{parts}</article>") == page_text.extract(f'<div class="content">{parts}</div>') == want
+    assert page_text.extract(f'<article><h2 id="cookies">Cookies</h2><section id="cookies"><p>{said}</p></section></article>') == f"Cookies\n{said.strip()}"
+    for noise in ("cookie-notice", "site-header", "related-posts", "social-links", "search-form", "comments-area", "main-nav", "ad-slot-3", "newsletter_signup", "share-buttons"):
+        assert page_text.extract(f'<div class="content"><p>{said}</p><div class="{noise}">Other</div><div id="{noise}">Other</div></div>') == said.strip(), noise
+
+
 def test_em_and_classifier_tell_real_from_false():
     counts = {("secret", 1, 0, 1, 0, 1): 50.0, ("secret", -1, 0, 0, 0, -1): 60.0, ("email", 1, 1, 0, 0, 0): 40.0}
     post = personal_data.em(counts)
