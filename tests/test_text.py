@@ -131,3 +131,18 @@ def test_rejudge_refuses_gaps(spark):
 def test_first_n_drops_short_models(spark):
     rows = spark.createDataFrame([("a", 1, None, 5.0, 3), ("a", 2, None, 7.0, 3), ("b", 1, None, 9.0, 3)], "model string, item long, error string, score double, n_words int")
     assert [(r.model, r.score) for r in scoring.first_n(rows, 2).collect()] == [("a", 6.0)]
+
+
+def test_gates_let_through_texts_without_apostrophes(spark):
+    said = {
+        "not_x_but_y": "It was not just quick, but also cheap", "antithesis": "It's not a tool. Its a partner", "isnt_its": "This is not a tool, it is a partner",
+        "less_more": "less noise, more signal", "copulative": "It serves as a base", "trailing_participle": "It grew, highlighting the need",
+        "false_range": "from cats to dogs, from here", "tailing_negation": "Plain, no fuss", "inline_header_list": "- **Name**: text", "artifact": "see turn0search1",
+        "agentless_passive": "It was taken",
+    }
+    said = [*said.items()] + [("antithesis", "Its not a bug, thats a feature here"), ("antithesis", "that not one, this's two")]
+    frame = spark.createDataFrame(said, "name string, text string")
+    for name, text in said:
+        row = frame.where(F.col("text") == text).select(F.lower("text").rlike(X.PHRASING_NEEDS[name]).alias("gate"), F.col("text").rlike("(?i)" + X.PHRASING[name]).alias("hit")).first()
+        assert row.hit and row.gate, (name, text)
+    assert {n for n, _ in said} == set(X.PHRASING_NEEDS)
