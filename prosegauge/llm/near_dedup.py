@@ -13,12 +13,12 @@ Signatures are cut into bands; texts that share a band are candidates. Equal set
 item from the start. In each band's group a leader is compared with the others, exactly, on
 the shingles themselves; the leader is the item that shares most with others, so that the
 original of many edited copies meets them all. Verified links make components. Items of
-groups that still hold several components are then compared across components wherever they
-agree in one of 220 fixed choices of 16 coordinates.
+groups that still hold several components are then compared across components wherever the
+rarest fifth of their shingles meet: of sets with a Jaccard similarity of t, each has at most
+n - ceil(t n) shingles that the other lacks, so its n - ceil(t n) + 1 first ones in any common
+order meet the other's. That step loses nothing, and edits put the rare shingles first.
 
-What can be lost: a link whose ends share no band (probability (1 - 0.8^6)^42 < 3e-6 at 0.8),
-and of links that no leader and no other path makes, those without a finer agreement
-((1 - 0.8^16)^220 = 0.2 % at exactly 0.8, 1e-5 at 0.83).
+What can be lost: a link whose ends share no band (probability (1 - 0.8^6)^42 < 3e-6 at 0.8).
 
 Null counts as empty. Texts under five words are one shingle; texts without words are
 duplicates only of equal texts. Repeated rows, with the same id too, share a class. The class id is the least id of
@@ -40,8 +40,6 @@ from prosegauge.llm.common import checkpointed, having_ids, map_batches
 WORDS, LEAST = 5, 0.8
 ROWS, BANDS = 6, 42
 COORDINATES = ROWS * BANDS
-#: Finer choices of coordinates for groups that hold several components.
-FINE_ROWS, FINE_CHOICES = 16, 220
 _U = np.uint64
 _STEP, _A, _B = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 _BASE, _INVERSE = _U(0x100000001B3), _U(pow(0x100000001B3, -1, 1 << 64))
@@ -157,18 +155,6 @@ def band_keys(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return key.view(np.int64)
 
 
-def fine_keys(signature: np.ndarray) -> np.ndarray:
-    """One key for each fixed choice of FINE_ROWS coordinates."""
-    pick = np.random.default_rng(7)
-    out = np.empty((len(signature), FINE_CHOICES), _U)
-    for c in range(FINE_CHOICES):
-        key = np.full(len(signature), c, _U)
-        for j in pick.choice(signature.shape[1], FINE_ROWS, replace=False):
-            key = mixed(key * _BASE + signature[:, j].astype(_U))
-        out[:, c] = key
-    return out.view(np.int64)
-
-
 def _sketched(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """(id, set, n, bands): digest and size of the shingle set, keys of its bands."""
 
@@ -191,17 +177,21 @@ def _sketched(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return map_batches(rows, make, "id long, set binary, n int, bands array<bigint>")
 
 
-def _finer(texts: DataFrame) -> DataFrame:
-    """(id, key): the finer keys of the texts."""
+def _prefixes(texts: DataFrame, least: float) -> DataFrame:
+    """(id, key): of each text's shingles, rarest first, as many as two sets of that similarity can't both lack; only those that several texts have."""
 
     def make():
         def work(batch: pa.RecordBatch) -> dict:
-            keys = fine_keys(signatures([shingles(t) for t in batch.column(1).to_pylist()]))
-            return {"id": batch.column(0), "keys": pa.array(list(keys), pa.list_(pa.int64()))}
+            return {"id": batch.column(0), "keys": pa.array([shingles(t).view(np.int64) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))}
 
         return work
 
-    return map_batches(texts.select("id", "text"), make, "id long, keys array<bigint>").select("id", F.explode("keys").alias("key"))
+    rows = checkpointed(map_batches(texts.select("id", "text"), make, "id long, keys array<bigint>").select("id", F.explode("keys").alias("key")))
+    often = rows.groupBy("key").agg(F.count("*").alias("often"))
+    sets = rows.join(often, "key").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("often", "key"))).alias("s"))
+    # a little less than the bound, so that rounding can't shorten the prefix
+    first = F.slice("s", F.lit(1), F.size("s") - F.ceil(least * F.size("s") - 1e-6).cast("int") + 1)
+    return sets.select("id", F.explode(first).alias("x")).where("x.often > 1").select("id", "x.key")
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -284,7 +274,7 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     split = known.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
     still = checkpointed(known.join(split, "key").select("item", "n", "component").distinct())
     if still.limit(1).count():
-        fine = checkpointed(_finer(having_ids(texts, still.select(F.col("item").alias("id")), "id")).join(still.withColumnRenamed("item", "id"), "id"))
+        fine = checkpointed(_prefixes(having_ids(texts, still.select(F.col("item").alias("id")), "id"), least).join(still.withColumnRenamed("item", "id"), "id"))
         mixed_keys = fine.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
         rows = checkpointed(fine.join(mixed_keys, "key").withColumnRenamed("id", "item"))
         others = rows.select("key", F.col("item").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("component_a"))

@@ -64,6 +64,25 @@ def test_near_dedup_equals_brute_force_on_edited_copies(spark):
     assert got == {i: top(i) for i in range(60)}
 
 
+def test_near_dedup_prefixes_meet_for_all_similar_pairs(spark):
+    import random
+
+    # sets of 100 shingles around the bound: k words at the end changed leave 100 - k common ones
+    rng = random.Random(11)
+    texts = []
+    for _ in range(60):
+        base = [f"w{rng.randrange(10**9)}" for _ in range(104)]
+        texts += [" ".join(base), " ".join(base[: 104 - rng.choice((10, 11, 11, 12))]), " ".join(base[rng.choice((9, 10, 11)) :])]
+    sets = [set(near_dedup.shingles(t).tolist()) for t in texts]
+    near = {(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert any(5 * len(sets[i] & sets[j]) == 4 * len(sets[i] | sets[j]) for i, j in near)
+    keys = near_dedup._prefixes(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), 0.8).collect()
+    own = [set() for _ in texts]
+    for r in keys:
+        own[r.id].add(r.key)
+    assert all(own[i] & own[j] for i, j in near) and max(map(len, own)) <= 21
+
+
 def test_media(spark, odd):
     got = media_columns.features(media_columns.to_media(odd)).collect()
     texts = {r.doc_id: r.text for r in odd.collect()}
