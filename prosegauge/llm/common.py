@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch: bounds what a Python worker holds at once.
@@ -21,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small, so that long texts can't fill a worker."""
+    """Keep the session's Arrow batches small, so that long texts can't fill a worker; plans read this when they run, so it stays set."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
@@ -83,20 +84,41 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [x or "" for x in batch.column(name).to_pylist()]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, also where body uses it in other lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def held_out(id_column: str = "doc_id"):
     """True for the fifth of the ids that no label may be learnt from."""
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % 5 == 0
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; where it is unset, one of this machine's if no other takes part, else an error."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        place = context.getConf().get("spark.checkpoint.dir")
+        if not place and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir isn't set; it must name a folder that the driver and all executors share")
+        context.setCheckpointDir(place or "/tmp/checkpoints")
+    return context.getCheckpointDir()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage with files that all executors share (spark.checkpoint.dir)."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        place = context.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
-        context.setCheckpointDir(place)
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores added while the table has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: Ids up to which a semi-join broadcasts them; 16 MB of longs.
 BROADCAST_IDS = 2_000_000
 

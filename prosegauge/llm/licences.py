@@ -1,16 +1,21 @@
 """Licence scans: Dice coefficient over word bigrams against templates, in Spark expressions only.
 
-Units of a text (the whole, its blocks of lines, its lines and their sentences) are put in
-lower case, with every stretch of other characters than a-z and 0-9 as one blank. The Dice
+Texts are put in lower case, with every stretch of other characters than a-z and 0-9 as one
+blank. Their pieces are the sentences of their lines; units are all runs of consecutive pieces,
+so lines, paragraphs, whole texts and licences inside longer texts are among them. The Dice
 coefficient of the sets of word bigrams of unit and template is 2 |A and B| / (|A| + |B|).
 
-With a bound t, a template of b bigrams can only match units of t/(2-t) b to (2-t)/t b
-bigrams: other templates are pruned by size. A match must also have at least t/(2-t) b of the
-template's bigrams, so it has one of any b - t/(2-t) b + 1 of them; gate words that touch as
-many bigrams of each template decide which texts are cut into units at all.
-
-Null and empty texts match nothing; repeated rows each give their matches; of equal units of
-a text one counts. The best coefficient for each licence and kind is given.
+With a bound t, a match has at least t/(2-t) b of the template's b bigrams and no more than
+(2-t)/t b of its own. So it holds one of any b - t/(2-t) b + 1 bigrams: gate words that touch as
+many of each template decide which texts are looked at, and of these a template is only compared
+with texts that have t/(2-t) b of its bigrams. A unit's coefficient doesn't fall if a piece
+without a bigram of the template is left out at its ends, so units begin and end with pieces that
+have one. A unit has at most 2 b + 2 words: only units in which a quarter of the bigrams are
+repeats are longer.
+
+Null and empty texts match nothing. The best coefficient of an id's texts for each licence and
+kind is given; rows without an id count as one. Columns besides id and text don't matter. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,6 +26,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prosegauge.llm.common import let
+
 LEAST = 0.8
 _NO_WARRANTY = """The software is provided "as is", without warranty of any kind, express or implied, including but not
 limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall
@@ -118,59 +125,89 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
 
-def units(text: Column) -> Column:
-    """The distinct units of a text: itself, blocks, lines, sentences."""
-    blocks, lines = F.split(text, r"\n[ \t\r]*\n", -1), F.split(text, "\n", -1)
-    sentences = F.flatten(F.transform(lines, lambda x: F.split(x, r"(?<=[.!?])[ \t]+", -1)))
-    return F.array_distinct(F.transform(F.concat(F.array(text), blocks, lines, sentences), normalised))
+def bigrams(words: Column) -> Column:
+    return F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words)), lambda a, b: F.concat_ws(" ", a, b))
+
+
+def _gate(least: float) -> str:
+    """Finds a gate word among the words of a normalised text, without normalising it: an underscore ends a word."""
+    return "(?<![a-z0-9])(?:" + "|".join(gate_words(least)) + ")(?![a-z0-9])"
+
+
+def pieces(lowered: Column) -> Column:
+    """The normalised sentences of a text's lines; those without words go."""
+    cut = F.flatten(F.transform(F.split(lowered, "\n", -1), lambda x: F.split(x, r"(?<=[.!?])[ \t]+", -1)))
+    return F.filter(F.transform(cut, normalised), lambda p: p != "")
+
+
+def _best(words: Column, pairs: Column, template: Column, n: Column) -> Column:
+    """The greatest Dice coefficient of a template and a unit, given the words (with their piece) and bigrams of a text."""
+    at = lambda k: F.element_at(words, k)["piece"]
+    size = F.size(words)
+
+    def dice(a: Column, b: Column) -> Column:
+        return let(F.array_distinct(F.slice(pairs, a, b - a)), lambda own: F.round(2.0 * F.size(F.array_intersect(own, template)) / (n + F.size(own)), 6))
+
+    def greatest(begins: Column, ends: Column) -> Column:
+        each = lambda a: F.array_max(F.transform(F.filter(ends, lambda b: (b > a) & (b - a < 2 * n + 2)), lambda b: dice(a, b)))
+        return F.array_max(F.transform(begins, each))
+
+    def among(hits: Column) -> Column:
+        every = F.sequence(F.lit(1), size)
+        begins = let(F.array_distinct(F.transform(hits, at)), lambda own: F.filter(every, lambda k: F.when(k == 1, True).otherwise(at(F.greatest(k - 1, F.lit(1))) != at(k)) & F.array_contains(own, at(k))))
+        ends = let(F.array_distinct(F.transform(hits, lambda k: at(k + 1))), lambda own: F.filter(every, lambda k: F.when(k == size, True).otherwise(at(F.least(k + 1, size)) != at(k)) & F.array_contains(own, at(k))))
+        return let(begins, lambda x: let(ends, lambda y: greatest(x, y)))
+
+    return let(F.filter(F.sequence(F.lit(1), F.size(pairs)), lambda k: F.array_contains(template, F.element_at(pairs, k))), among)
 
 
 def matches(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: float = LEAST) -> DataFrame:
     """(id, licence, kind, dice): the best coefficient of each text's units for each licence that reaches the bound."""
     known = [(name, kind, bigrams_of(t)) for name, kind, t in TEMPLATES]
-    low, high = least / (2 - least), (2 - least) / least
-    table = F.array(
-        *(F.struct(F.lit(n).alias("licence"), F.lit(k).alias("kind"), F.array(*map(F.lit, b)).alias("pairs"), F.lit(len(b)).alias("n")) for n, k, b in known)
-    )
-    most = max(len(b) for *_, b in known) * high
-    gate = r"\b(?:" + "|".join(gate_words(least)) + r")\b"
-    text = F.coalesce(F.col(text_column), F.lit(""))
-    cut = (
-        docs.select(F.col(id_column).alias("id"), text.alias("text"))
-        .where(F.lower("text").rlike(gate))
-        .select("id", F.explode(units(F.col("text"))).alias("unit"))
-        .where(F.col("unit").rlike(gate))
-        .select("id", F.split("unit", " ").alias("words"))
-        # a unit of n distinct bigrams has more than n words, repeated bigrams counted in full texts only a few times over
-        .where(F.size("words") > 1)
-        .select("id", F.array_distinct(F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words")), lambda a, b: F.concat_ws(" ", a, b))).alias("pairs"))
-        .where(F.size("pairs") <= most)
-    )
-    dice = lambda t: 2.0 * F.size(F.array_intersect(t["pairs"], F.col("pairs"))) / (t["n"] + F.size("pairs"))
-    sized = F.filter(table, lambda t: (F.size("pairs") >= low * t["n"]) & (F.size("pairs") <= high * t["n"]))
-    scored = F.filter(F.transform(sized, lambda t: F.struct(t["licence"].alias("licence"), t["kind"].alias("kind"), F.round(dice(t), 6).alias("dice"))), lambda m: m["dice"] >= least)
-    found = cut.select("id", F.explode(scored).alias("m"))
-    return found.groupBy(F.col("id").alias(id_column), "m.licence", "m.kind").agg(F.max("m.dice").alias("dice"))
+    listed = lambda xs: F.array(*map(F.lit, xs))
+    table = F.array(*(F.struct(F.lit(n).alias("licence"), F.lit(k).alias("kind"), listed(b).alias("pairs"), F.lit(len(b)).alias("n")) for n, k, b in known))
+    some = listed(sorted({p for *_, b in known for p in b}))
+    lowered = docs.select(F.col(id_column).alias("id"), F.lower(F.coalesce(F.col(text_column), F.lit(""))).alias("text")).where(F.col("text").rlike(_gate(least)))
+    held = let(F.split(normalised(F.col("text")), " "), lambda w: F.array_intersect(bigrams(w), some))
+    enough = let(held, lambda own: F.filter(table, lambda t: F.size(F.array_intersect(t["pairs"], own)) >= least / (2 - least) * t["n"] - 1e-9))
+    able = lowered.select("id", "text", F.explode(enough).alias("t"))
+    placed = F.flatten(F.transform(pieces(F.col("text")), lambda p, i: F.transform(F.split(p, " "), lambda w: F.struct(w.alias("w"), i.alias("piece")))))
+    template = lambda words, pairs: _best(words, pairs, F.col("t.pairs"), F.col("t.n"))
+    best = let(placed, lambda words: let(bigrams(F.transform(words, lambda x: x["w"])), lambda pairs: template(words, pairs)))
+    found = able.select("id", "t.licence", "t.kind", best.alias("dice"))
+    return found.where(F.col("dice") >= least).groupBy(F.col("id").alias(id_column), "licence", "kind").agg(F.max("dice").alias("dice"))
 
 
 def oracle_sql(least: float = LEAST) -> str:
-    """The same result as one DuckDB query, with every unit compared with every template."""
-    rows = ", ".join("('{}', '{}', [{}])".format(n, k, ", ".join(f"'{p}'" for p in bigrams_of(t))) for n, k, t in TEMPLATES)
-    return f"""
-WITH templates(licence, kind, pairs) AS (VALUES {rows}),
-texts AS (SELECT doc_id, text FROM documents WHERE regexp_matches(lower(text), '(^|[^a-z0-9_])({"|".join(gate_words(least))})($|[^a-z0-9_])')),
-lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM texts),
-raw AS (
-  SELECT doc_id, text AS u FROM texts
-  UNION SELECT doc_id, unnest(regexp_split_to_array(text, '\\n[ \\t\\r]*\\n')) FROM texts
-  UNION SELECT doc_id, line FROM lines
-  UNION SELECT doc_id, unnest(string_split(regexp_replace(line, '([.!?])[ \\t]+', '\\1' || chr(1), 'g'), chr(1))) FROM lines
+    """The same result as one DuckDB query: no gate words, units from rows of numbered words."""
+    rows = ", ".join("({}, '{}', '{}', {}, [{}])".format(i, n, k, len(b), ", ".join(f"'{p}'" for p in b)) for i, (n, k, b) in enumerate((n, k, bigrams_of(t)) for n, k, t in TEMPLATES))
+    return rf"""
+WITH templates(tid, licence, kind, n, pairs) AS (VALUES {rows}),
+parts AS MATERIALIZED (SELECT tid, n, unnest(pairs) AS pair FROM templates),
+texts AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, lower(coalesce(text, '')) AS text FROM documents),
+lines AS (SELECT rid, generate_subscripts(ls, 1) AS ln, unnest(ls) AS line FROM (SELECT rid, string_split(text, chr(10)) AS ls FROM texts)),
+cut AS (SELECT rid, ln, generate_subscripts(ps, 1) AS pn, unnest(ps) AS piece FROM (SELECT rid, ln, string_split(regexp_replace(line, '([.!?])[ 	]+', '' || chr(1), 'g'), chr(1)) AS ps FROM lines)),
+spelt AS (SELECT rid, ln, pn, string_split(trim(regexp_replace(piece, '[^a-z0-9]+', ' ', 'g')), ' ') AS ws FROM cut WHERE regexp_matches(piece, '[a-z0-9]')),
+words AS MATERIALIZED (
+  SELECT rid, ln, pn, w, row_number() OVER (PARTITION BY rid ORDER BY ln, pn, i) AS k
+  FROM (SELECT rid, ln, pn, generate_subscripts(ws, 1) AS i, unnest(ws) AS w FROM spelt)
+),
+spans AS (SELECT rid, ln, pn, min(k) AS a, max(k) AS b FROM words GROUP BY ALL),
+pairs AS MATERIALIZED (
+  SELECT rid, k, a, next_b, w || ' ' || next_w AS pair
+  FROM (SELECT rid, k, w, a, lead(w) OVER v AS next_w, lead(b) OVER v AS next_b FROM words JOIN spans USING (rid, ln, pn) WINDOW v AS (PARTITION BY rid ORDER BY k))
+  WHERE next_w IS NOT NULL
+),
+hits AS MATERIALIZED (SELECT tid, n, rid, k, a, next_b, pair FROM pairs JOIN parts USING (pair)),
+able AS (SELECT tid, rid, n FROM hits GROUP BY tid, rid, n HAVING count(DISTINCT pair) >= {least / (2 - least)}::DOUBLE * n - 1e-9),
+units AS MATERIALIZED (
+  SELECT tid, rid, n, a, next_b AS b FROM able JOIN (SELECT DISTINCT tid, rid, a FROM hits) USING (tid, rid) JOIN (SELECT DISTINCT tid, rid, next_b FROM hits) USING (tid, rid)
+  WHERE next_b > a AND next_b - a < 2 * n + 2
 ),
-units AS (SELECT DISTINCT doc_id, string_split(trim(regexp_replace(lower(u), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM raw),
-bigrams AS (SELECT doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS pairs FROM units WHERE len(w) > 1),
 scored AS (
-  SELECT doc_id, licence, kind, round(2.0 * len(list_intersect(t.pairs, b.pairs)) / (len(t.pairs) + len(b.pairs)), 6) AS dice
-  FROM bigrams b JOIN templates t ON len(b.pairs) BETWEEN {least / (2 - least)} * len(t.pairs) - 1e-9 AND {(2 - least) / least} * len(t.pairs) + 1e-9
+  SELECT u.tid, u.rid, u.a, u.b, u.n, count(DISTINCT p.pair) AS own, count(DISTINCT h.pair) AS shared
+  FROM units u JOIN pairs p ON p.rid = u.rid AND p.k >= u.a AND p.k < u.b LEFT JOIN parts h ON h.tid = u.tid AND h.pair = p.pair GROUP BY ALL
 )
-SELECT doc_id, licence, kind, max(dice) AS dice FROM scored WHERE dice >= {least} GROUP BY ALL
+SELECT doc_id, licence, kind, max(round(2.0::DOUBLE * shared / (s.n + own), 6)) AS dice
+FROM scored s JOIN templates t USING (tid) JOIN texts x USING (rid) WHERE round(2.0::DOUBLE * shared / (s.n + own), 6) >= {least} GROUP BY ALL
 """
