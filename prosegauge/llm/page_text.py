@@ -1,19 +1,22 @@
 """Main text of web pages by consensus host paths.
 
 Each page's containers are scored by the text of their own paragraphs, less what is link
-text. The best ones vote with their generalised path (tags with classes, digits and hash-like
-endings removed) and Spark sums the votes by host. Every page is then extracted with the
-winning paths of its host: of those that the page has, the one with the highest score on the
-page; a page that has none uses its own best container. From there the text is widened to the
-outermost article or main around it, or else to the highest ancestor below body that adds text
-which isn't mostly links; headings that stand directly in body are kept.
+text. All vote, by their share of the page's score, for their generalised path (tags with
+classes, digits and hash-like endings removed) and Spark sums the votes by host. Every page is
+then extracted with the winning paths of its host: the one with most votes that the page has,
+whatever scores best on the page itself. Ancestors of a path with more votes are no winners, as
+they get a share of their children's votes. A page that has no winning path uses its own best
+container. From there the text is widened to the outermost article or main around it, or else to
+the highest ancestor below body that adds text which isn't mostly links; headings that stand
+directly in body are kept.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
 comments are left out wherever they stand. Names tell them if all their words are such words or
 usual additions; ids of headings and anchors, and of sections inside articles, tell nothing, as
 they are often made from titles. A block's white space becomes single blanks; two
 or more <br> in a row end a block. Null pages count as empty and give an empty text; pages
-without a host share one. Repeated rows each give their text.
+without a host share one. Repeated rows each give their text; rows without an id do so too. An
+empty table gives no rows. Columns besides id, url and html don't matter.
 """
 
 from __future__ import annotations
@@ -59,8 +62,8 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _BREAK = re.compile(r"\0(?:\s*\0)+")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 WHOLE = frozenset(("html", "body", "main", "article"))
-#: Votes of a page: its best containers.
-VOTES = 3
+#: Share of its host's votes that a winning path has at least; so a host has ten at most.
+LEAST_SHARE = 0.1
 #: Host paths up to which the winners are broadcast; beyond, they are joined by shuffling.
 BROADCAST_ROWS = 100_000
 
@@ -223,11 +226,20 @@ def scores(root: Node) -> dict[str, float]:
     return out
 
 
-def best_paths(root: Node, n: int = VOTES) -> list[tuple[str, float]]:
-    """The page's best container paths with their share of its score."""
+def best_paths(root: Node) -> list[tuple[str, float]]:
+    """The page's container paths with their share of its score, best first."""
     found = scores(root)
     total = sum(found.values())
-    return [(p, s / total) for p, s in sorted(found.items(), key=lambda x: (-x[1], x[0]))[:n] if s > 0]
+    return [(p, s / total) for p, s in sorted(found.items(), key=lambda x: (-x[1], x[0])) if s > 0]
+
+
+def decisive(paths: list[str]) -> list[str]:
+    """Of paths with most votes first, those that aren't ancestors of an earlier one."""
+    out: list[str] = []
+    for path in paths:
+        if not any(p.startswith(path + "/") for p in out):
+            out.append(path)
+    return out
 
 
 def widened(root: Node, path: str) -> set[int]:
@@ -292,13 +304,13 @@ def text_under(root: Node, chosen: set[int]) -> str:
 
 
 def extract(page: str | None, winners: list[str] | None = None) -> str:
-    """The page's main text by the host's winning paths, or by its own best path."""
+    """The page's main text by the first of its host's winning paths that it has, or by its own best path."""
     if not page:
         return ""
     root = parse(page)
-    found = scores(root)
-    own = sorted(((-s, p) for p, s in found.items() if s > 0))
-    for _, path in [x for x in own if x[1] in set(winners or ())] + own[:1]:
+    own = best_paths(root)
+    has = {p for p, _ in own}
+    for path in [p for p in decisive(winners or []) if p in has] + [p for p, _ in own[:1]]:
         said = text_under(root, widened(root, path))
         if said:
             return said
@@ -309,18 +321,17 @@ def _host(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1), F.lit("")))
 
 
-def host_paths(pages: DataFrame, url_column: str = "url", html_column: str = "html", least: float = 0.1) -> DataFrame:
+def host_paths(pages: DataFrame, url_column: str = "url", html_column: str = "html", least: float = LEAST_SHARE) -> DataFrame:
     """(host, paths): the paths with at least that share of their host's votes, best first."""
 
     def make():
         def work(batch: pa.RecordBatch) -> dict:
-            hosts, paths, votes = [], [], []
+            votes: dict[tuple[str, str], float] = {}
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for path, share in best_paths(parse(page or "")):
-                    hosts.append(host)
-                    paths.append(path)
-                    votes.append(share)
-            return {"host": pa.array(hosts, pa.string()), "path": pa.array(paths, pa.string()), "vote": pa.array(votes, pa.float64())}
+                    votes[host, path] = votes.get((host, path), 0.0) + share
+            host, path = zip(*votes, strict=True) if votes else ((), ())
+            return {"host": pa.array(host, pa.string()), "path": pa.array(path, pa.string()), "vote": pa.array(votes.values(), pa.float64())}
 
         return work
 
