@@ -71,16 +71,30 @@ def encode(payload: bytes, width: int = WIDTH, filter_kind: str = "sub", level:
     return SIGNATURE + _chunk(b"IHDR", head) + body + _chunk(b"IEND", b"")
 
 
+def _by_diagonals(block: np.ndarray, paeth: np.ndarray, above: np.ndarray) -> None:
+    """Undo Paeth or average lines in place; the samples of a diagonal depend on earlier diagonals only."""
+    n, width = block.shape
+    done = np.zeros((n + 1, width + 1), np.int16)
+    done[0, 1:] = above
+    for d in range(n + width - 1):
+        r = np.arange(max(0, d - width + 1), min(n, d + 1))
+        j = d - r
+        left, up, corner = done[r + 1, j], done[r, j + 1], done[r, j]
+        guess = np.where(paeth[r], _paeth(left, up, corner), (left + up) >> 1)
+        done[r + 1, j + 1] = (block[r, j] + guess) & 255
+    block[:] = done[1:, 1:]
+
+
 def _unfiltered(lines: np.ndarray) -> np.ndarray:
     """Undo the filters, a block of lines with one kind at a time.
 
-    None, sub and up are cumulative sums modulo 256 over a block; average and Paeth need
-    the finished left neighbour and go sample by sample.
+    None, sub and up are cumulative sums modulo 256 over a block. Average and Paeth need the
+    finished neighbours left and above: their lines are undone along the diagonals.
     """
     kinds, rows = lines[:, 0], lines[:, 1:].copy()
     if len(kinds) and kinds.max() > 4:
         raise BadImage("unknown filter")
-    cuts = [0, *(np.flatnonzero(np.diff(kinds)) + 1).tolist(), len(kinds)]
+    cuts = [0, *(np.flatnonzero(np.diff(np.minimum(kinds, 3))) + 1).tolist(), len(kinds)]
     above = np.zeros(rows.shape[1], np.uint8)
     for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
         kind, block = int(kinds[lo]) if hi > lo else 0, rows[lo:hi]
@@ -90,18 +104,7 @@ def _unfiltered(lines: np.ndarray) -> np.ndarray:
             block[0] += above
             np.cumsum(block, axis=0, dtype=np.uint8, out=block)
         elif kind >= 3:
-            for row in block:
-                left = corner = 0
-                for j, (raw, up) in enumerate(zip(row.tolist(), above.tolist(), strict=True)):
-                    if kind == 3:
-                        guess = (left + up) >> 1
-                    else:
-                        p = left + up - corner
-                        near = (abs(p - left), abs(p - up), abs(p - corner))
-                        guess = left if near[0] <= near[1] and near[0] <= near[2] else up if near[1] <= near[2] else corner
-                    row[j] = left = (raw + guess) & 255
-                    corner = up
-                above = row
+            _by_diagonals(block, kinds[lo:hi] == 4, above)
         if hi > lo:
             above = rows[hi - 1]
     return rows
@@ -122,7 +125,11 @@ def decode(data: bytes) -> np.ndarray:
         if struct.unpack_from(">I", data, at + 8 + n)[0] != zlib.crc32(body, zlib.crc32(kind)):
             raise BadImage(f"checksum of {kind!r}")
         if kind == b"IHDR":
+            if n != 13:
+                raise BadImage("header of another length")
             size = struct.unpack(">IIBBBBB", body)
+            if not size[0] or not size[1]:
+                raise BadImage("no samples")
             if size[2:] != (8, 0, 0, 0, 0):
                 raise BadImage("not 8-bit grey without interlace")
         elif kind == b"IDAT":
@@ -131,11 +138,13 @@ def decode(data: bytes) -> np.ndarray:
         at += 12 + n
     if not ended or size is None:
         raise BadImage("cut off")
+    expected = size[1] * (size[0] + 1)
     try:
-        raw = zlib.decompress(b"".join(packed))
+        # one byte more than the header promises shows that there are too many
+        raw = zlib.decompressobj().decompress(b"".join(packed), expected + 1)
     except zlib.error as e:
         raise BadImage(str(e)) from e
-    if len(raw) != size[1] * (size[0] + 1):
+    if len(raw) != expected:
         raise BadImage("wrong number of samples")
     return _unfiltered(np.frombuffer(raw, np.uint8).reshape(size[1], size[0] + 1))
 
@@ -176,7 +185,8 @@ def padded(text: str | None, width: int = WIDTH) -> tuple[int, bytes]:
 def to_media(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", filter_kind: str = "sub") -> DataFrame:
     """(id, n_bytes, media): each text as a PNG in a binary column.
 
-    Null and empty texts become one line of blanks; repeated rows stay; other columns go.
+    Null and empty texts become one line of blanks; repeated rows and null ids stay; other
+    columns go. An empty table gives no rows.
     """
 
     def make():
@@ -197,7 +207,8 @@ def to_media(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
 def features(media: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """Read the stored images back: digests of payload and image, and the hash.
 
-    A damaged image gives ok = false and nulls, not a failed job.
+    A damaged image gives ok = false and nulls, not a failed job. Columns besides id, n_bytes
+    and media go.
     """
 
     def one(data: bytes | None) -> tuple:

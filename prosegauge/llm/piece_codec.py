@@ -172,6 +172,8 @@ class Codec:
                 last[end], size[end], done = piece, n, end
         out, at = [], len(chunk) - 1
         while at >= 0:
+            if not size[at]:
+                raise ValueError(f"no piece ends at character {at} of {chunk[:40]!r}")
             out.append(last[at])
             at -= size[at]
         out.reverse()

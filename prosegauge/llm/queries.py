@@ -50,7 +50,8 @@ def op5_quality(spark, sf_dir):
 def op6_chat(spark, sf_dir):
     said = r"\### Assistant: </turn> ok"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(said).alias("text"))
     return chat_format.read_back(chat_format.formatted(rows.unionByName(extra)))
 
 
