@@ -1,13 +1,16 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
-Features are hashed 1- to 3-grams of the lower-cased text, every stretch of non-letters one
-blank; weights 1 + log(count) times inverse document frequency, rows scaled to length one.
+Features are hashed 1- to 3-grams of the lower-cased text, with blanks in place of all that isn't
+a letter and without those of blanks alone; weights 1 + log(count) times inverse document frequency, rows scaled to length one.
 Document frequencies cover all rows that may be learnt from. The classifier is trained by
 follow-the-regularised-leader (per-coordinate steps, L1 and L2 penalties) on a bounded
-sample; a tenth of the sample is kept back to calibrate a temperature.
+sample, in which rare languages have at least a quarter of an equal share; a tenth of the sample
+is kept back to calibrate a temperature.
 
-Null texts and texts without a letter are `und` with score 0. Repeated rows get equal
-predictions. If nothing can be learnt from (no rows or no labels), every row is `und`.
+Null texts and texts without a letter (str.isalpha) are `und` with score 0. Repeated rows get
+equal predictions. If nothing can be learnt from (no rows or no labels), every row is `und`. An
+empty table gives no rows. Null ids are predicted too; other columns stay as they are, but for
+those that have the names of the two new ones.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ _ALPHA: list[np.ndarray] = []
 def _alpha() -> np.ndarray:
     """Whether each code point is a letter; made once a process."""
     if not _ALPHA:
-        _ALPHA.append(np.fromiter((chr(c).isalpha() for c in range(0x30000)), bool, 0x30000))
+        _ALPHA.append(np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000))
     return _ALPHA[0]
 
 
@@ -48,7 +51,7 @@ def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     for start in range(0, len(text), BLOCK):
         fresh = min(BLOCK, len(text) - start)
         code = np.frombuffer(text[max(0, start - 2) : start + fresh].encode("utf-32-le", "replace"), np.uint32)
-        code = np.where((code < len(letters)) & letters[np.minimum(code, len(letters) - 1)], code, 32).astype(np.uint32)
+        code = np.where(letters[code], code, 32).astype(np.uint32)
         old = len(code) - fresh
         for n in (1, 2, 3):
             if len(code) < n:
@@ -83,7 +86,7 @@ class Model:
         return (x / size) @ self.weights[at] + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.languages or not _LETTER.search(text):
+        if not text or not self.languages or not any(m[0].isalpha() for m in _LETTER.finditer(text)):
             return UNKNOWN, 0.0
         z = self.logits(*counts(text)) / self.temperature
         p = np.exp(z - z.max())
@@ -155,7 +158,8 @@ def _frequencies(docs: DataFrame) -> np.ndarray:
 def fit(docs: DataFrame, may_learn: Column, text_column: str = "text", label_column: str = "lang", id_column: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Model of the rows where may_learn holds and neither text nor label is null.
 
-    The sample is the sample_rows rows whose ids hash lowest.
+    Each label gives the rows whose ids hash lowest, in proportion to its number of rows but a
+    quarter of an equal share at least; in all about sample_rows, and never more than twice that.
     """
     rows = docs.where(may_learn & F.col(text_column).isNotNull() & F.col(label_column).isNotNull()).select(
         F.col(text_column).alias("text"), F.col(label_column).alias("label"), F.xxhash64(F.col(id_column)).alias("h")
@@ -165,9 +169,11 @@ def fit(docs: DataFrame, may_learn: Column, text_column: str = "text", label_col
     if not total:
         return Model([], np.zeros(BUCKETS), np.zeros((BUCKETS, 0)), np.zeros(0), 1.0)
     idf = np.log((1 + total) / (1 + _frequencies(rows.select("text")))) + 1
-    share = min(1.0, 1.3 * sample_rows / total + 100 / total)
-    low = F.lit(int(-(1 << 63) + share * ((1 << 64) - 1025)))
-    picked = rows.where(F.col("h") <= low).orderBy("h", "label").limit(sample_rows)
+    least = sample_rows / (4 * len(sizes))
+    shares = {name: min(1.0, max(sample_rows / total, least / n)) for name, n in sizes.items()}
+    bounds = {name: int(-(1 << 63) + share * ((1 << 64) - 1025)) for name, share in shares.items()}
+    low = F.element_at(F.create_map(*(F.lit(x) for pair in bounds.items() for x in pair)), F.col("label"))
+    picked = rows.where(F.col("h") <= low).orderBy("h", "label").limit(2 * sample_rows)
 
     def make():
         def work(batch: pa.RecordBatch) -> dict:
@@ -189,9 +195,9 @@ def fit(docs: DataFrame, may_learn: Column, text_column: str = "text", label_col
     return train(data, languages, idf)
 
 
-def predicted(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
-    """The rows with lang_pred and score added (replacing columns of these names)."""
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+def predicted(docs: DataFrame, model: Model, text_column: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The rows with the predicted language and its score added (or put in place of columns of these names)."""
+    kept = [c for c in docs.columns if c not in names]
     df = docs.select(*kept)
     place = kept.index(text_column)
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
@@ -200,8 +206,8 @@ def predicted(docs: DataFrame, model: Model, text_column: str = "text") -> DataF
         def work(batch: pa.RecordBatch) -> dict:
             said = [model.predict(t) for t in batch.column(place).to_pylist()]
             own = {f"`{c}`": batch.column(i) for i, c in enumerate(kept)}
-            return own | {"lang_pred": pa.array([a for a, _ in said], pa.string()), "score": pa.array([b for _, b in said], pa.float64())}
+            return own | {f"`{names[0]}`": pa.array([a for a, _ in said], pa.string()), f"`{names[1]}`": pa.array([b for _, b in said], pa.float64())}
 
         return work
 
-    return map_batches(df, make, f"{ddl}, lang_pred string, score double")
+    return map_batches(df, make, f"{ddl}, `{names[0]}` string, `{names[1]}` double")

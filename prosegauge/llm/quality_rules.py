@@ -5,9 +5,10 @@ small depth are grown; every path from a root becomes a rule, a conjunction of t
 statistics. A logistic model with an L1 penalty on the rules' weights keeps few of them, and
 these are compiled into one Column over the statistics.
 
-Null texts count as empty (all statistics 0). Repeated rows get equal scores. If the labels
-that may be learnt from hold fewer than two values, the score is the share of ones (0.5 with
-no label).
+Null texts count as empty (all statistics 0). Repeated rows get equal scores; null ids are
+never learnt from. If the labels that may be learnt from hold fewer than two values, the score is
+(ones + 1) / (labels + 2), 0.5 with no label. An empty table gives no rows. Other columns stay as
+they are, but for one that has the name of the score.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prosegauge.llm.common import unused
+
 #: Labelled rows that the rules are fitted on at most.
 SAMPLE_ROWS = 6000
 
@@ -53,11 +56,12 @@ NAMES = ("log_words", "word_length", "distinct_words", "words_a_line", "distinct
 def with_statistics(docs: DataFrame, text_column: str = "text", name: str = "stats") -> DataFrame:
     """Adds a struct of the text's statistics; words and lines are split once, in a projection of their own."""
     t = F.coalesce(F.col(text_column), F.lit(""))
+    words, lines = unused(docs, "words"), unused(docs, "lines")
     split = docs.withColumns(
-        {"_words": F.filter(F.split(t, r"\s+", -1), lambda w: w != ""), "_lines": F.filter(F.split(t, "\n", -1), lambda x: x != "")}
+        {words: F.filter(F.split(t, r"\s+", -1), lambda w: w != ""), lines: F.filter(F.split(t, "\n", -1), lambda x: x != "")}
     )
-    made = statistics(t, F.col("_words"), F.col("_lines"))
-    return split.withColumn(name, F.struct(*(c.cast("double").alias(k) for k, c in made.items()))).drop("_words", "_lines")
+    made = statistics(t, F.col(words), F.col(lines))
+    return split.withColumn(name, F.struct(*(c.cast("double").alias(k) for k, c in made.items()))).drop(words, lines)
 
 
 @dataclass(frozen=True)
@@ -137,7 +141,7 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rat
     if len(y) == 0:
         return RuleModel(0.0)
     if y.min() == y.max():
-        return RuleModel(6.0 if y[0] else -6.0)
+        return RuleModel(math.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, 65)[1:-1])) for j in range(x.shape[1])]
     margin, found = np.full(len(y), math.log((y.sum() + 1) / (len(y) - y.sum() + 1))), []
     for _ in range(trees):
@@ -163,19 +167,24 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, label_column: str
     """Rules from the sample_rows labelled ids that hash lowest, among those where may_learn holds.
 
     The sample is small enough to broadcast whatever the input; only its texts get statistics here.
+    Of an id's several texts the one with the least statistics counts, so that sample_rows rows
+    come to the driver at most, however often ids repeat.
     """
     some = (
-        labels.where(may_learn & F.col(label_column).isNotNull())
+        labels.where(may_learn & F.col(label_column).isNotNull() & F.col(id_column).isNotNull())
         .select(F.col(id_column).alias("id"), F.col(label_column).cast("int").alias("y"))
+        .distinct()
         .orderBy(F.xxhash64("id"), "id", "y")
         .limit(sample_rows)
     )
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(F.broadcast(some), "id")
-    got = with_statistics(rows).select("id", "y", *(F.col(f"stats.{n}").alias(n) for n in NAMES)).orderBy("id").toArrow()
+    one = with_statistics(rows).groupBy("id", "y").agg(F.min("stats").alias("stats"))
+    got = one.select("id", "y", *(F.col(f"stats.{n}").alias(n) for n in NAMES)).orderBy("id", "y").toArrow()
     x = np.array([got.column(n).to_numpy() for n in NAMES], float).T.reshape(-1, len(NAMES))
     return fit_rules(x, got.column("y").to_numpy().astype(int))
 
 
-def scored(docs: DataFrame, model: RuleModel, text_column: str = "text") -> DataFrame:
-    """The rows with their statistics (stats) and score added."""
-    return with_statistics(docs, text_column).withColumn("score", model.score(F.col("stats")))
+def scored(docs: DataFrame, model: RuleModel, text_column: str = "text", name: str = "score") -> DataFrame:
+    """The rows with their score added (or put in place of a column of that name)."""
+    stats = unused(docs, "stats")
+    return with_statistics(docs, text_column, stats).withColumn(name, model.score(F.col(stats))).drop(stats)
