@@ -2,14 +2,17 @@
 
 Candidate spans come from patterns: four base kinds (email, ip, card, phone), which always
 stay, and wider ones that need a decision. Labelers (a strict form, a gazetteer, words of
-context for and against, a checksum or mixture test) vote 1, -1 or 0 on each candidate. The
-votes of the whole corpus are counted by pattern in Spark, at most KINDS x 3^5 rows;
-expectation-maximisation over these counts estimates how reliable each labeler is, and a
-logistic span classifier is trained on the resulting probabilities. Its weights become a
-Column, which decides on the wider candidates of each text.
-
-Null texts count as empty; offsets are code points, ends exclusive. Repeated rows each get
-their spans. An empty table yields no rows. Wider spans that overlap a base span are dropped.
+context for and against, a checksum or mixture test) vote 1, -1 or 0 on each candidate. Votes and
+classes of the span's statistics (length, shares of digits and of capitals) are counted over the
+whole corpus in Spark, at most KINDS x 3^5 x 18 rows; expectation-maximisation over the votes
+estimates how reliable each labeler is, and a logistic span classifier is trained on the resulting
+probabilities, from kind, votes and statistics. Its weights become a Column, which decides on the
+wider candidates of each text; of accepted ones that overlap the likeliest stays, then the first,
+then by kind as listed.
+
+Null texts count as empty; offsets are code points, ends exclusive. Repeated rows and rows with a
+null id each get their spans. An empty table yields no rows. Wider spans that overlap a base span
+are dropped. Other columns stay as they are, but for those that have the names of the new ones.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,6 +89,8 @@ CONTEXT = {
 #: Words just before a span that speak against any kind.
 AGAINST = r"(?i)(?:version|release|isbn|issn|figure|table|section|rfc|part|https?:/|www\.|[/=?&])\W?$"
 LABELERS = ("strict", "gazetteer", "context", "against", "mixture")
+#: Statistics of a span and the greatest class of each.
+CLASSES = (("length", 2), ("digits", 2), ("capitals", 1))
 KINDS = tuple(PATTERNS)
 LEFT = 24
 SPAN = "array<struct<kind:string,start:int,end:int,value:string,left:string>>"
@@ -141,12 +147,17 @@ def base_spans(text: Column) -> Column:
 
 
 def wider_spans(text: Column, base: Column) -> Column:
-    """Candidates of the other kinds that don't touch a base span; the first of overlapping ones stays."""
+    """Candidates of the other kinds that don't touch a base span; they may overlap each other."""
     every = _in_order(F.concat(*(_matches(text, k) for k in KINDS if k not in BASE)))
-    apart = F.filter(every, lambda s: ~F.exists(base, lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"])))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    keep = lambda st, s: F.when(s["start"] >= st["at"], F.struct(s["end"].alias("at"), F.concat(st["out"], F.array(s)).alias("out"))).otherwise(st)
-    return F.aggregate(apart, start, keep, lambda st: st["out"])
+    return F.filter(every, lambda s: ~F.exists(base, lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"])))
+
+
+def accepted(spans: Column, weights: list[float], least: float = 0.5) -> Column:
+    """The candidates that the classifier takes; of overlapping ones the likeliest, then the first, then by kind."""
+    rated = F.transform(spans, lambda s: F.struct((-chance(s, weights)).alias("p"), s["start"].alias("start"), _rank(s["kind"]).alias("rank"), s.alias("span")))
+    best = F.transform(F.array_sort(F.filter(rated, lambda r: r["p"] <= -least)), lambda r: r["span"])
+    apart = lambda out, s: ~F.exists(out, lambda o: (s["start"] < o["end"]) & (o["start"] < s["end"]))
+    return F.aggregate(best, F.array().cast(SPAN), lambda out, s: F.when(apart(out, s), F.concat(out, F.array(s))).otherwise(out))
 
 
 def votes(span: Column) -> Column:
@@ -173,6 +184,16 @@ def votes(span: Column) -> Column:
     )
 
 
+def classes(span: Column) -> Column:
+    """Classes of a span's statistics: length, share of digits, share of capitals."""
+    n = F.length(span["value"])
+    share = lambda pattern: F.regexp_count(span["value"], F.lit(pattern)) / n
+    graded = lambda x, *cuts: sum((F.when(x >= c, 1).otherwise(0) for c in cuts), F.lit(0))
+    return F.struct(
+        graded(n, 16, 32).alias("length"), graded(share("[0-9]"), 0.2, 0.6).alias("digits"), graded(share(r"\p{Lu}"), 0.1).alias("capitals")
+    )
+
+
 def em(counts: dict[tuple, float], rounds: int = 50) -> dict[tuple, float]:
     """Probability that a candidate is real, by (kind, votes), from counts of such patterns.
 
@@ -207,58 +228,65 @@ def em(counts: dict[tuple, float], rounds: int = 50) -> dict[tuple, float]:
 
 
 def _inputs(pattern: tuple) -> list[float]:
-    kind, *said = pattern
-    return [1.0, *(float(kind == k) for k in KINDS), *(float(v == 1) for v in said), *(float(v == -1) for v in said)]
+    """What the classifier sees of a (kind, votes, classes) pattern."""
+    kind, said, graded = pattern[0], pattern[1 : 1 + len(LABELERS)], pattern[1 + len(LABELERS) :]
+    marks = [float(g >= k) for g, (_, most) in zip(graded, CLASSES, strict=True) for k in range(1, most + 1)]
+    return [1.0, *(float(kind == k) for k in KINDS), *(float(v == 1) for v in said), *(float(v == -1) for v in said), *marks]
 
 
 def train(counts: dict[tuple, float], rounds: int = 800, ridge: float = 1e-4) -> list[float]:
-    """Logistic weights of the span classifier, fitted to the probabilities of em(); each kind weighs the same, however rare."""
-    post, total = em(counts), {}
+    """Logistic weights of the span classifier from counts of (kind, votes, classes), fitted to the probabilities of em(); each kind weighs the same, however rare."""
+    voted: dict[tuple, float] = {}
+    total: dict[str, float] = {}
     for p, n in counts.items():
+        key = p[: 1 + len(LABELERS)]
+        voted[key] = voted.get(key, 0.0) + n
         total[p[0]] = total.get(p[0], 0.0) + n
-    rows = [(_inputs(p), n / total[p[0]] / len(total), post[p]) for p, n in sorted(counts.items())]
-    weights = [0.0] * len(_inputs((KINDS[0], *([0] * len(LABELERS)))))
-    for _ in range(rounds):
-        slope = [ridge * w for w in weights]
-        for x, n, y in rows:
-            off = n * (1 / (1 + math.exp(-sum(a * b for a, b in zip(weights, x, strict=True)))) - y)
-            slope = [s + off * a for s, a in zip(slope, x, strict=True)]
-        weights = [w - 2.0 * s for w, s in zip(weights, slope, strict=True)]
-    return weights
+    post, rows = em(voted), sorted(counts)
+    weights = np.zeros(len(_inputs((KINDS[0], *([0] * (len(LABELERS) + len(CLASSES)))))))
+    x = np.array([_inputs(p) for p in rows], float).reshape(-1, len(weights))
+    share = np.array([counts[p] / total[p[0]] / len(total) for p in rows])
+    y = np.array([post[p[: 1 + len(LABELERS)]] for p in rows])
+    for _ in range(rounds if len(rows) else 0):
+        off = share * (1 / (1 + np.exp(-(x @ weights))) - y)
+        weights = weights - 1.5 * (x.T @ off + ridge * weights)
+    return weights.tolist()
 
 
 def chance(span: Column, weights: list[float]) -> Column:
     """The span classifier as a Column."""
-    said, kind = votes(span), span["kind"]
-    per_kind = dict(zip(KINDS, weights[1:], strict=False))
-    at = 1 + len(KINDS)
-    terms = [F.lit(weights[0]), F.coalesce(*(F.when(kind == k, F.lit(w)) for k, w in per_kind.items()), F.lit(0.0))]
-    for j, name in enumerate(LABELERS):
-        terms.append(F.when(said[name] == 1, F.lit(weights[at + j])).when(said[name] == -1, F.lit(weights[at + len(LABELERS) + j])).otherwise(F.lit(0.0)))
+    said, graded, kind = votes(span), classes(span), span["kind"]
+    rest = iter(weights)
+    terms = [F.lit(next(rest)), F.coalesce(*(F.when(kind == k, F.lit(next(rest))) for k in KINDS), F.lit(0.0))]
+    for vote in (1, -1):
+        terms += [F.when(said[name] == vote, F.lit(next(rest))).otherwise(F.lit(0.0)) for name in LABELERS]
+    for name, most in CLASSES:
+        terms += [F.when(graded[name] >= k, F.lit(next(rest))).otherwise(F.lit(0.0)) for k in range(1, most + 1)]
     return 1 / (1 + F.exp(-reduce(lambda a, b: a + b, terms)))
 
 
 def vote_counts(docs: DataFrame, text_column: str = "text") -> dict[tuple, float]:
-    """How often each (kind, votes) occurs over all candidates of all texts; the group count has a fixed bound."""
+    """How often each (kind, votes, classes) occurs over all candidates of all texts; the group count has a fixed bound."""
     text = F.coalesce(F.col(text_column), F.lit(""))
     found = (
         docs.select(text.alias("t"))
         .select("t", base_spans(F.col("t")).alias("b"))
         .select(F.explode(F.concat("b", wider_spans(F.col("t"), F.col("b")))).alias("s"))
-        .select(F.col("s.kind").alias("kind"), votes(F.col("s")).alias("v"))
-        .groupBy("kind", *(F.col(f"v.{n}").alias(n) for n in LABELERS))
+        .select(F.col("s.kind").alias("kind"), votes(F.col("s")).alias("v"), classes(F.col("s")).alias("c"))
+        .groupBy("kind", *(F.col(f"v.{n}").alias(n) for n in LABELERS), *(F.col(f"c.{n}").alias(n) for n, _ in CLASSES))
         .count()
     )
     return {tuple(r[:-1]): float(r[-1]) for r in found.collect()}
 
 
-def with_spans(docs: DataFrame, weights: list[float], text_column: str = "text", least: float = 0.5) -> DataFrame:
-    """Adds pii_base and pii_spans (base and accepted wider spans, in order)."""
+def with_spans(docs: DataFrame, weights: list[float], text_column: str = "text", least: float = 0.5, names: tuple[str, str] = ("pii_base", "pii_spans")) -> DataFrame:
+    """Adds the base spans and all spans (base and accepted wider ones, in order) under these names."""
     text = F.coalesce(F.col(text_column), F.lit(""))
+    base, spans = names
     return (
-        docs.withColumn("pii_base", base_spans(text))
-        .withColumn("pii_spans", F.filter(wider_spans(text, F.col("pii_base")), lambda s: chance(s, weights) >= least))
-        .withColumn("pii_spans", _in_order(F.concat("pii_base", "pii_spans")))
+        docs.withColumn(base, base_spans(text))
+        .withColumn(spans, accepted(wider_spans(text, F.col(base)), weights, least))
+        .withColumn(spans, _in_order(F.concat(base, spans)))
     )
 
 
