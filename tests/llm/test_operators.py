@@ -64,25 +64,6 @@ def test_near_dedup_equals_brute_force_on_edited_copies(spark):
     assert got == {i: top(i) for i in range(60)}
 
 
-def test_near_dedup_prefixes_meet_for_all_similar_pairs(spark):
-    import random
-
-    # sets of 100 shingles around the bound: k words at the end changed leave 100 - k common ones
-    rng = random.Random(11)
-    texts = []
-    for _ in range(60):
-        base = [f"w{rng.randrange(10**9)}" for _ in range(104)]
-        texts += [" ".join(base), " ".join(base[: 104 - rng.choice((10, 11, 11, 12))]), " ".join(base[rng.choice((9, 10, 11)) :])]
-    sets = [set(near_dedup.shingles(t).tolist()) for t in texts]
-    near = {(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
-    assert any(5 * len(sets[i] & sets[j]) == 4 * len(sets[i] | sets[j]) for i, j in near)
-    keys = near_dedup._prefixes(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), 0.8).collect()
-    own = [set() for _ in texts]
-    for r in keys:
-        own[r.id].add(r.key)
-    assert all(own[i] & own[j] for i, j in near) and max(map(len, own)) <= 21
-
-
 def test_media(spark, odd):
     got = media_columns.features(media_columns.to_media(odd)).collect()
     texts = {r.doc_id: r.text for r in odd.collect()}
@@ -175,7 +156,8 @@ def test_pages(spark):
     rows = [(i, f"http://h.example/{i}", page.format(i, i, "Sidebar wins by length here. " * 4 if i == 0 else "s")) for i in range(8)] + [(90, None, "<p>alone</p>"), (91, "http://h.example/x", None), (92, "x", "")]
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, host string")
     got = {r.page_id: r.text for r in page_text.extracted(pages).collect()}
-    assert all(got[i] == f"The article text number {i} is here and long enough." for i in range(1, 8))
+    # the host's path decides, also on the page whose sidebar is longer
+    assert all(got[i] == f"The article text number {i} is here and long enough." for i in range(8))
     assert (got[90], got[91], got[92]) == ("alone", "", "")
     assert page_text.extracted(pages.limit(0)).count() == 0
 
@@ -188,8 +170,8 @@ def test_decontamination(spark):
     other = "These unrelated words talk about the weather and the price of bread in town today"
     items = spark.createDataFrame([(1, item, "c"), (2, None, "c"), (3, other, "c"), (3, other, "c")], "item_id long, text string, doc string")
     docs = documents(spark, [(1, f"{LONG} {item} {LONG}", "en"), (2, f"before {' '.join(edited)} after", "en"), (3, LONG, "en"), (4, None, "en"), (5, "", "en"), (6, other, "en"), (6, other, "en"), (None, other, "en"), *((100 + i, f"filler {i} {item}", "en") for i in range(30))])
-    found = {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, items).collect()}
-    assert found == {(1, 1), (2, 1), (6, 3), *((100 + i, 1) for i in range(30))}
+    found = sorted((r.doc_id, r.item_id) for r in decontaminate.matches(docs, items).collect())
+    assert found == sorted([(1, 1), (2, 1), (6, 3), *((100 + i, 1) for i in range(30))])
     assert sorted(str(r.doc_id) for r in decontaminate.clean(docs, items).collect()) == ["3", "4", "5", "None"]
     assert decontaminate.matches(docs, items.limit(0)).count() == 0 and decontaminate.matches(docs.limit(0), items).count() == 0
 
