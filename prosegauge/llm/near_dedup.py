@@ -1,28 +1,36 @@
 """MinHash near-dedup with DartMinHash signatures.
 
-A text is a weighted set of its five-word shingles (lower case, letters and digits). Each
-element owns an endless field of random darts over (weight, rank): a unit strip of weight
-receives darts at unit rate along the rank axis, heavier strips [1,2), [2,4), [4,8) ... at
-rates 1, 2, 4. A set catches the darts below its weights; hashing deals them to K
-coordinates, and each coordinate keeps its earliest dart. Looking at ranks up to
-K (ln K + 5) / total weight catches about K (ln K + 5) darts whatever the set's size; the
-few sets with an empty coordinate look twice as far again. Two sets agree in a coordinate
-with the probability of their weighted Jaccard similarity.
+A text is a weighted set of its five-word shingles (lower case, letters and digits); a shingle
+that occurs c times weighs 1 + ln c. Each element owns an endless field of random darts over
+(weight, rank): a unit strip of weight receives darts at unit rate along the rank axis, heavier
+strips [1,2), [2,4), [4,8) ... at rates 1, 2, 4. A set catches the darts below its weights;
+hashing deals them to K coordinates, and each coordinate keeps its earliest dart. Looking at
+ranks up to K (ln K + 5) / total weight catches about K (ln K + 5) darts whatever the set's
+size; the few sets with an empty coordinate look twice as far again. Two sets agree in a
+coordinate with the probability of their weighted Jaccard similarity (the plain one where no
+shingle repeats).
 
 Signatures are cut into bands; texts that share a band are candidates. Equal sets are one
 item from the start. In each band's group a leader is compared with the others, exactly, on
 the shingles themselves; the leader is the item that shares most with others, so that the
 original of many edited copies meets them all. Verified links make components. Items of
-groups that still hold several components are then compared across components wherever the
-rarest fifth of their shingles meet: of sets with a Jaccard similarity of t, each has at most
-n - ceil(t n) shingles that the other lacks, so its n - ceil(t n) + 1 first ones in any common
-order meet the other's. That step loses nothing, and edits put the rare shingles first.
+groups that still hold several components are then joined on their rarest shingles: of sets
+with a similarity of t, each has at most 1 - t of its weight in shingles that the other lacks,
+so that one of the first 1 - t of its weight in any common order meets the other's. Two sets of
+weights v and w can only be similar if what follows the first common shingle, this included,
+weighs t / (1 + t) (v + w) in both. Keys therefore hold a shingle and the classes of both
+weights, each set only gives the keys that this bound allows, and the join tests it exactly.
+Copies with many edits of their own have these first, so they meet no other copy at all. That
+step loses nothing. The common order is by frequency among these texts, from a sketch of fixed
+size that only decides how well the join prunes.
 
 What can be lost: a link whose ends share no band (probability (1 - 0.8^6)^42 < 3e-6 at 0.8).
 
 Null counts as empty. Texts under five words are one shingle; texts without words are
-duplicates only of equal texts. Repeated rows, with the same id too, share a class. The class id is the least id of
-the class.
+duplicates only of equal texts. Repeated rows share a class; an id with several texts is one
+document, whose class holds the near-duplicates of each. Rows with a null id have a null class
+and are never left out. The class id is the least id of the class. Columns besides id and text
+don't matter. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,7 +40,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prosegauge.llm.common import checkpointed, having_ids, map_batches
@@ -44,6 +52,10 @@ _U = np.uint64
 _STEP, _A, _B = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 _BASE, _INVERSE = _U(0x100000001B3), _U(pow(0x100000001B3, -1, 1 << 64))
 _TABLES: dict = {}
+#: Ratio between the classes of set weights that the exact join tells apart.
+CLASS_RATIO = 1.05
+#: Counters of the sketch of shingle frequencies: 2^SKETCH_BITS rows at most come to the driver.
+SKETCH_BITS = 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -72,7 +84,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _word_letters() -> np.ndarray:
     if "letters" not in _TABLES:
-        _TABLES["letters"] = np.fromiter((chr(c).isalnum() for c in range(0x30000)), bool, 0x30000)
+        _TABLES["letters"] = np.fromiter((chr(c).isalnum() for c in range(0x110000)), bool, 0x110000)
     return _TABLES["letters"]
 
 
@@ -81,7 +93,7 @@ def word_hashes(text: str, with_places: bool = False):
     code = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
     letters = _word_letters()
     inside = np.zeros(len(code) + 2, np.int8)
-    inside[1:-1] = letters[np.minimum(code, len(letters) - 1)]
+    inside[1:-1] = letters[code]
     edge = np.diff(inside)
     lo, hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     up, down = _powers(len(code) + 1)
@@ -103,6 +115,19 @@ def shingles(text: str | None, words: int = WORDS, distinct: bool = True) -> np.
     return np.unique(h) if distinct else h
 
 
+def weighted_shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The text's distinct shingles, sorted, and their weights."""
+    found, times = np.unique(shingles(text, distinct=False), return_counts=True)
+    return found, 1.0 + np.log(times)
+
+
+def similar(p: tuple[np.ndarray, np.ndarray], q: tuple[np.ndarray, np.ndarray], least: float = LEAST) -> bool:
+    """Whether two weighted sets have at least that Jaccard similarity."""
+    _, i, j = np.intersect1d(p[0], q[0], assume_unique=True, return_indices=True)
+    both = np.minimum(p[1][i], q[1][j]).sum()
+    return bool(both >= least * (p[1].sum() + q[1].sum() - both) - 1e-9)
+
+
 def _darts(element: np.ndarray, weight: np.ndarray, owner: np.ndarray, reach: np.ndarray):
     """(owner, rank, dart) of all darts that the weighted elements catch within their owner's reach."""
     lo, hi, strip = 0.0, 1.0, 0
@@ -155,64 +180,128 @@ def band_keys(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _sketched(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(id, set, n, bands): digest and size of the shingle set, keys of its bands."""
+def _sketched(docs: DataFrame) -> DataFrame:
+    """(id, set, w, bands): digest and weight of each text's shingle set, keys of its bands."""
 
     def make():
         def work(batch: pa.RecordBatch) -> dict:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            sets = [shingles(t) for t in texts]
-            digest = [hashlib.md5(s.tobytes() if len(s) else b"text" + t.encode()).digest() for s, t in zip(sets, texts, strict=True)]
-            keys = band_keys(signatures(sets))
+            both = [weighted_shingles(t) for t in texts]
+            sets, weights = [s for s, _ in both], [w for _, w in both]
+            digest = [hashlib.md5(s.tobytes() if len(s) else b"text" + t.encode("utf-8", "replace")).digest() for s, t in zip(sets, texts, strict=True)]
+            keys = band_keys(signatures(sets, weights))
             return {
                 "id": batch.column(0),
                 "set": pa.array(digest, pa.binary()),
-                "n": pa.array([len(s) for s in sets], pa.int32()),
+                "w": pa.array([w.sum() for w in weights], pa.float64()),
                 "bands": pa.array([k if len(s) else k[:0] for s, k in zip(sets, keys, strict=True)], pa.list_(pa.int64())),
             }
 
         return work
 
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    return map_batches(rows, make, "id long, set binary, n int, bands array<bigint>")
+    return map_batches(docs, make, "id long, set binary, w double, bands array<bigint>")
+
 
+def _bucket(keys: np.ndarray) -> np.ndarray:
+    return (keys >> _U(64 - SKETCH_BITS)).astype(np.int64)
 
-def _prefixes(texts: DataFrame, least: float) -> DataFrame:
-    """(id, key): of each text's shingles, rarest first, as many as two sets of that similarity can't both lack; only those that several texts have."""
+
+def _frequencies(texts: DataFrame) -> np.ndarray:
+    """How many texts have shingles of each bucket; the sums have 2^SKETCH_BITS rows at most, whatever the input."""
 
     def make():
         def work(batch: pa.RecordBatch) -> dict:
-            return {"id": batch.column(0), "keys": pa.array([shingles(t).view(np.int64) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))}
+            seen = np.concatenate([np.zeros(0, np.int64), *(_bucket(shingles(t)) for t in batch.column(0).to_pylist())])
+            at, n = np.unique(seen, return_counts=True)
+            return {"bucket": pa.array(at, pa.int64()), "n": pa.array(n, pa.int64())}
 
         return work
 
-    rows = checkpointed(map_batches(texts.select("id", "text"), make, "id long, keys array<bigint>").select("id", F.explode("keys").alias("key")))
-    often = rows.groupBy("key").agg(F.count("*").alias("often"))
-    sets = rows.join(often, "key").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("often", "key"))).alias("s"))
-    # a little less than the bound, so that rounding can't shorten the prefix
-    first = F.slice("s", F.lit(1), F.size("s") - F.ceil(least * F.size("s") - 1e-6).cast("int") + 1)
-    return sets.select("id", F.explode(first).alias("x")).where("x.often > 1").select("id", "x.key")
+    got = map_batches(texts.select("text"), make, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << SKETCH_BITS, np.float32)
+    out[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
+    return out
+
+
+def rare_keys(shingle: np.ndarray, weight: np.ndarray, often: np.ndarray, least: float = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, weight from there on) of a set's first shingles in the order of that frequency.
+
+    A key names a shingle, the class of the set's own weight and that of a partner's; it is
+    given if a partner of that class can have its first common shingle there. Shingles that
+    no other text has count in the order but give no key.
+    """
+    order = np.lexsort((shingle, often))
+    shingle, often, weight = shingle[order], often[order], weight[order]
+    total = weight.sum()
+    rest = total - np.cumsum(weight) + weight
+    step, bound = math.log(CLASS_RATIO), least / (1 + least)
+    # a little more than the bound allows, so that rounding can't leave out a key
+    most = np.minimum(rest / bound - total, total / least) * (1 + 1e-9)
+    low = math.floor(math.log(least * total * (1 - 1e-9)) / step)
+    high = np.where(most >= least * total * (1 - 2e-9), np.floor(np.log(np.maximum(most, 1e-9)) / step), low - 1).astype(np.int64)
+    some = np.flatnonzero((high >= low) & (often > 1))
+    times = high[some] - low + 1
+    at = np.repeat(some, times)
+    partner = low + np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+    own = math.floor(math.log(total) / step)
+    # weights beside a class border count for both classes
+    classes = {own, math.floor(math.log(total * (1 + 1e-9)) / step), math.floor(math.log(total * (1 - 1e-9)) / step)}
+    keys = [mixed(mixed(shingle[at] + np.minimum(partner, c).astype(_U)) + np.maximum(partner, c).astype(_U)) for c in sorted(classes)]
+    return np.concatenate(keys), np.tile(rest[at], len(classes))
+
+
+def _rare(texts: DataFrame, least: float) -> DataFrame:
+    """(item, component, key, w, rest): the keys of each text's first shingles (see rare_keys)."""
+    often = texts.sparkSession.sparkContext.broadcast(_frequencies(texts))
+
+    def make():
+        table = often.value
+
+        def work(batch: pa.RecordBatch) -> dict:
+            key, rest, total, times = [np.zeros(0, _U)], [np.zeros(0)], [], []
+            for text in batch.column(2).to_pylist():
+                found, weight = weighted_shingles(text)
+                k, r = rare_keys(found, weight, table[_bucket(found)], least)
+                key.append(k)
+                rest.append(r)
+                total.append(weight.sum())
+                times.append(len(k))
+            row = pa.array(np.repeat(np.arange(len(times)), times))
+            own = {"item": batch.column(0).take(row), "component": batch.column(1).take(row), "w": pa.array(total, pa.float64()).take(row)}
+            return own | {"key": pa.array(np.concatenate(key).view(np.int64)), "rest": pa.array(np.concatenate(rest))}
+
+        return work
+
+    return map_batches(texts.select("id", "component", "text"), make, "item long, component long, key long, w double, rest double")
+
+
+def _across(rows: DataFrame) -> DataFrame:
+    """The rows whose key several components have, and whether each is outside the component that has it most.
+
+    Of two items in different components one at least is outside, so that those are joined with
+    all: a large component beside a few others makes no square.
+    """
+    key = Window.partitionBy("key")
+    counted = rows.repartition("key").withColumn("n", F.count("*").over(Window.partitionBy("key", "component")))
+    ranked = counted.withColumn("most", F.max(F.struct("n", "component")).over(key)).withColumn("minor", F.col("component") != F.col("most.component"))
+    return ranked.withColumn("some", F.max("minor").over(key)).where("some").drop("n", "most", "some")
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have at least that Jaccard similarity."""
+    """The pairs (a, b) of which a text of each has at least that similarity to one of the other."""
 
     def make():
         kept: dict = {}
 
-        def of(item: int, text: str) -> np.ndarray:
-            if item not in kept:
-                if len(kept) >= 2000:
+        def of(text: str) -> tuple[np.ndarray, np.ndarray]:
+            if text not in kept:
+                if len(kept) >= 500:
                     kept.clear()
-                kept[item] = shingles(text)
-            return kept[item]
+                kept[text] = weighted_shingles(text)
+            return kept[text]
 
         def work(batch: pa.RecordBatch) -> dict:
-            ok = []
-            for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                p, q = of(a, x), of(b, y)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(both >= least * (len(p) + len(q) - both))
+            ok = [similar(of(x), of(y), least) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             keep = pa.array(ok, pa.bool_())
             return {"a": batch.column(0).filter(keep), "b": batch.column(1).filter(keep)}
 
@@ -244,53 +333,61 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
+def _of_one_id(members: DataFrame) -> DataFrame:
+    """(a, b): items of different texts that have the same id."""
+    ends = members.groupBy("id").agg(F.min("item").alias("a"), F.max("item").alias("z")).where("a <> z")
+    return ends.join(members, "id").where("item <> a").select("a", F.col("item").alias("b")).distinct()
+
+
 def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: float = LEAST) -> DataFrame:
     """(id, class_id) for each row: class_id is the least id of the near-duplicates' component."""
-    sketched = checkpointed(_sketched(docs, id_column, text_column))
-    items = checkpointed(
-        sketched.groupBy("set").agg(F.min("id").alias("item"), F.min_by("bands", "id").alias("bands"), F.first("n").alias("n"))
-    )
-    rows = items.select("item", "n", F.explode("bands").alias("key"))
+    every = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    whole = every.where(F.col("id").isNotNull())
+    sketched = checkpointed(_sketched(whole))
+    items = checkpointed(sketched.groupBy("set").agg(F.min(F.struct("id", "w", "bands")).alias("m")).select("set", F.col("m.id").alias("item"), "m.w", "m.bands"))
+    members = sketched.select("id", "set").join(items.select("set", "item"), "set").select("id", "item")
+    linked = _of_one_id(members)
+    rows = items.select("item", "w", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").count().where("count > 1").select("key")
     grouped = checkpointed(rows.join(shared, "key"))
-    whole = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    texts = checkpointed(having_ids(whole, grouped.select(F.col("item").alias("id")).distinct(), "id").dropDuplicates(["id"]))
-    fair = (F.col("n") >= least * F.col("n_a")) & (F.col("n_a") >= least * F.col("n"))
+    found = having_ids(whole, grouped.select(F.col("item").alias("id")).distinct(), "id")
+    texts = checkpointed(found.withColumn("h", F.xxhash64("text")).dropDuplicates(["id", "h"]).drop("h"))
+    fair = (F.col("w") >= least * F.col("w_a") - 1e-6) & (F.col("w_a") >= least * F.col("w") - 1e-6)
     ends = (F.least("a", "item").alias("a"), F.greatest("a", "item").alias("b"))
     # how much each item shares: the sizes of its groups
     sizes = grouped.groupBy("key").count()
     weight = grouped.join(sizes, "key").groupBy("item").agg(F.sum("count").alias("weight"))
     order = F.struct("weight", F.xxhash64("item"))
-    leaders = grouped.join(weight, "item").groupBy("key").agg(F.max_by("item", order).alias("a"), F.max_by("n", order).alias("n_a"))
+    leaders = grouped.join(weight, "item").groupBy("key").agg(F.max_by("item", order).alias("a"), F.max_by("w", order).alias("w_a"))
     tested = checkpointed(grouped.join(leaders, "key").where((F.col("item") != F.col("a")) & fair).select(*ends).distinct())
-    linked, label = None, None
-    if tested.limit(1).count():
-        linked = checkpointed(_similar(tested, texts, least))
-        label = components(linked) if linked.limit(1).count() else None
+    linked = checkpointed(linked.union(_similar(tested, texts, least)))
+    label = components(linked) if linked.limit(1).count() else None
     known = grouped.withColumn("component", F.col("item"))
     if label is not None:
         known = grouped.join(label.withColumnRenamed("id", "item"), "item", "left").withColumn("component", F.coalesce("component", "item"))
-    known = checkpointed(known)
+    known = checkpointed(known.select("item", "key", "component"))
     split = known.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    still = checkpointed(known.join(split, "key").select("item", "n", "component").distinct())
+    still = checkpointed(known.join(split, "key").select("item", "component").distinct())
     if still.limit(1).count():
-        fine = checkpointed(_prefixes(having_ids(texts, still.select(F.col("item").alias("id")), "id"), least).join(still.withColumnRenamed("item", "id"), "id"))
-        mixed_keys = fine.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-        rows = checkpointed(fine.join(mixed_keys, "key").withColumnRenamed("id", "item"))
-        others = rows.select("key", F.col("item").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("component_a"))
-        across = (F.col("item") < F.col("a")) & (F.col("component") != F.col("component_a")) & fair
-        more = rows.join(others, "key").where(across).select(*ends).distinct().join(tested, ["a", "b"], "left_anti")
-        found = checkpointed(_similar(checkpointed(more), texts, least))
-        if found.limit(1).count():
-            label = components(found if linked is None else linked.union(found))
-    members = sketched.join(items.select("set", "item"), "set").select(F.col("id").alias(id_column), "item")
+        left = checkpointed(having_ids(texts, still.select(F.col("item").alias("id")), "id").join(still.withColumnRenamed("item", "id"), "id"))
+        rows = checkpointed(_across(_rare(left, least)))
+        others = rows.select("key", F.col("item").alias("a"), F.col("w").alias("w_a"), F.col("rest").alias("rest_a"), F.col("component").alias("component_a"), F.col("minor").alias("minor_a"))
+        can = F.least("rest", "rest_a") >= least / (1 + least) * (F.col("w") + F.col("w_a")) - 1e-6
+        once = F.col("component") != F.col("component_a"), ~F.col("minor_a") | (F.col("item") < F.col("a"))
+        more = rows.where("minor").join(others, "key").where(once[0] & once[1] & can)
+        more = checkpointed(more.select(*ends).distinct().join(tested, ["a", "b"], "left_anti"))
+        fresh = checkpointed(_similar(more, left, least))
+        if fresh.limit(1).count():
+            label = components(linked.union(fresh))
+    nameless = every.where(F.col("id").isNull()).select(F.col("id").alias(id_column), F.lit(None).cast("long").alias("class_id"))
     if label is None:
-        return members.withColumnRenamed("item", "class_id")
-    return members.join(label.withColumnRenamed("id", "item"), "item", "left").select(id_column, F.coalesce("component", "item").alias("class_id"))
+        return members.select(F.col("id").alias(id_column), F.col("item").alias("class_id")).union(nameless)
+    known = members.join(label.withColumnRenamed("id", "item"), "item", "left")
+    return known.select(F.col("id").alias(id_column), F.coalesce("component", "item").alias("class_id")).union(nameless)
 
 
 def kept(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The documents whose id is their class id: one of each class. Rows that repeat that id stay, and so do rows with a null id."""
-    found = classes(docs.where(F.col(id_column).isNotNull()), id_column, text_column)
-    found = found.where(F.col(id_column) == F.col("class_id")).select(id_column).distinct()
-    return docs.join(found, id_column, "left_semi").unionByName(docs.where(F.col(id_column).isNull()))
+    found = classes(docs, id_column, text_column)
+    away = found.where(F.col(id_column) != F.col("class_id")).select(id_column).distinct()
+    return docs.join(away, id_column, "left_anti")
