@@ -21,8 +21,8 @@ weights v and w can only be similar if what follows the first common shingle, th
 weighs t / (1 + t) (v + w) in both. Keys therefore hold a shingle and the classes of both
 weights, each set only gives the keys that this bound allows, and the join tests it exactly.
 Copies with many edits of their own have these first, so they meet no other copy at all. That
-step loses nothing. The common order is by frequency among these texts, from a sketch of fixed
-size that only decides how well the join prunes.
+step loses nothing. The common order is by how many of these texts have a shingle; those that one
+alone has come first and are only counted by their weight.
 
 What can be lost: a link whose ends share no band (probability (1 - 0.8^6)^42 < 3e-6 at 0.8).
 
@@ -54,8 +54,6 @@ _BASE, _INVERSE = _U(0x100000001B3), _U(pow(0x100000001B3, -1, 1 << 64))
 _TABLES: dict = {}
 #: Ratio between the classes of set weights that the exact join tells apart.
 CLASS_RATIO = 1.05
-#: Counters of the sketch of shingle frequencies: 2^SKETCH_BITS rows at most come to the driver.
-SKETCH_BITS = 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -202,77 +200,69 @@ def _sketched(docs: DataFrame) -> DataFrame:
     return map_batches(docs, make, "id long, set binary, w double, bands array<bigint>")
 
 
-def _bucket(keys: np.ndarray) -> np.ndarray:
-    return (keys >> _U(64 - SKETCH_BITS)).astype(np.int64)
-
-
-def _frequencies(texts: DataFrame) -> np.ndarray:
-    """How many texts have shingles of each bucket; the sums have 2^SKETCH_BITS rows at most, whatever the input."""
-
-    def make():
-        def work(batch: pa.RecordBatch) -> dict:
-            seen = np.concatenate([np.zeros(0, np.int64), *(_bucket(shingles(t)) for t in batch.column(0).to_pylist())])
-            at, n = np.unique(seen, return_counts=True)
-            return {"bucket": pa.array(at, pa.int64()), "n": pa.array(n, pa.int64())}
-
-        return work
-
-    got = map_batches(texts.select("text"), make, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << SKETCH_BITS, np.float32)
-    out[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
-    return out
-
-
-def rare_keys(shingle: np.ndarray, weight: np.ndarray, often: np.ndarray, least: float = LEAST) -> tuple[np.ndarray, np.ndarray]:
+def rare_keys(shingle: np.ndarray, weight: np.ndarray, often: np.ndarray, total: float, least: float = LEAST) -> tuple[np.ndarray, np.ndarray]:
     """(keys, weight from there on) of a set's first shingles in the order of that frequency.
 
-    A key names a shingle, the class of the set's own weight and that of a partner's; it is
-    given if a partner of that class can have its first common shingle there. Shingles that
-    no other text has count in the order but give no key.
+    Given are the shingles that other sets have too, and the weight of the whole set; the rest of
+    it comes first in the order. A key names a shingle, the class of the set's own weight and that
+    of a partner's; it is given if a partner of that class can have its first common shingle there.
     """
     order = np.lexsort((shingle, often))
-    shingle, often, weight = shingle[order], often[order], weight[order]
-    total = weight.sum()
-    rest = total - np.cumsum(weight) + weight
+    shingle, weight = shingle[order], weight[order]
+    rest = np.cumsum(weight[::-1])[::-1]
     step, bound = math.log(CLASS_RATIO), least / (1 + least)
     # a little more than the bound allows, so that rounding can't leave out a key
     most = np.minimum(rest / bound - total, total / least) * (1 + 1e-9)
     low = math.floor(math.log(least * total * (1 - 1e-9)) / step)
     high = np.where(most >= least * total * (1 - 2e-9), np.floor(np.log(np.maximum(most, 1e-9)) / step), low - 1).astype(np.int64)
-    some = np.flatnonzero((high >= low) & (often > 1))
+    some = np.flatnonzero(high >= low)
     times = high[some] - low + 1
     at = np.repeat(some, times)
     partner = low + np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
-    own = math.floor(math.log(total) / step)
     # weights beside a class border count for both classes
-    classes = {own, math.floor(math.log(total * (1 + 1e-9)) / step), math.floor(math.log(total * (1 - 1e-9)) / step)}
+    classes = {math.floor(math.log(total * x) / step) for x in (1, 1 + 1e-9, 1 - 1e-9)}
     keys = [mixed(mixed(shingle[at] + np.minimum(partner, c).astype(_U)) + np.maximum(partner, c).astype(_U)) for c in sorted(classes)]
     return np.concatenate(keys), np.tile(rest[at], len(classes))
 
 
+def _shared_shingles(texts: DataFrame) -> DataFrame:
+    """(item, component, t, w, often, shingle, weight): the shingles that several of these texts have, and how many have them."""
+
+    def make():
+        def work(batch: pa.RecordBatch) -> dict:
+            found = [weighted_shingles(t) for t in batch.column(3).to_pylist()]
+            row = pa.array(np.repeat(np.arange(len(found)), [len(s) for s, _ in found]))
+            own = {n: batch.column(i).take(row) for i, n in enumerate(("item", "component", "t"))}
+            flat = lambda parts, kind: pa.array(np.concatenate([*parts, np.zeros(0, kind)]))
+            return own | {"w": pa.array([w.sum() for _, w in found], pa.float64()).take(row), "shingle": flat([s.view(np.int64) for s, _ in found], np.int64), "weight": flat([w for _, w in found], np.float64)}
+
+        return work
+
+    rows = texts.select("id", "component", F.xxhash64("text").alias("t"), "text")
+    every = map_batches(rows, make, "item long, component long, t long, w double, shingle long, weight double")
+    return every.withColumn("often", F.count("*").over(Window.partitionBy("shingle"))).where("often > 1")
+
+
 def _rare(texts: DataFrame, least: float) -> DataFrame:
     """(item, component, key, w, rest): the keys of each text's first shingles (see rare_keys)."""
-    often = texts.sparkSession.sparkContext.broadcast(_frequencies(texts))
 
     def make():
-        table = often.value
-
         def work(batch: pa.RecordBatch) -> dict:
-            key, rest, total, times = [np.zeros(0, _U)], [np.zeros(0)], [], []
-            for text in batch.column(2).to_pylist():
-                found, weight = weighted_shingles(text)
-                k, r = rare_keys(found, weight, table[_bucket(found)], least)
+            key, rest, times = [np.zeros(0, _U)], [np.zeros(0)], []
+            for total, found in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
+                own = found.values
+                k, r = rare_keys(own.field(1).to_numpy().view(_U), own.field(2).to_numpy(), own.field(0).to_numpy(), total, least)
                 key.append(k)
                 rest.append(r)
-                total.append(weight.sum())
                 times.append(len(k))
             row = pa.array(np.repeat(np.arange(len(times)), times))
-            own = {"item": batch.column(0).take(row), "component": batch.column(1).take(row), "w": pa.array(total, pa.float64()).take(row)}
+            own = {n: batch.column(i).take(row) for i, n in enumerate(("item", "component", "w"))}
             return own | {"key": pa.array(np.concatenate(key).view(np.int64)), "rest": pa.array(np.concatenate(rest))}
 
         return work
 
-    return map_batches(texts.select("id", "component", "text"), make, "item long, component long, key long, w double, rest double")
+    sets = _shared_shingles(texts).groupBy("item", "component", "t", "w").agg(F.collect_list(F.struct("often", "shingle", "weight")).alias("s"))
+    return map_batches(sets.select("item", "component", "w", "s"), make, "item long, component long, key long, w double, rest double")
 
 
 def _across(rows: DataFrame) -> DataFrame:

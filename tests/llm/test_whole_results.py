@@ -97,14 +97,18 @@ def test_near_dedup_finds_all_links_of_the_test_table(spark):
 
 
 def test_rare_keys_of_similar_sets_meet():
-    rng, often = random.Random(11), np.random.default_rng(2).integers(2, 50, 1 << near_dedup.SKETCH_BITS)
+    rng = random.Random(11)
     texts = []
     for _ in range(60):
         base = [f"w{rng.randrange(10**9)}" for _ in range(104)]
         texts += [" ".join(base), " ".join(base[: 104 - rng.choice((10, 11, 11, 12))]), " ".join(base[rng.choice((9, 10, 11)) :])]
         texts += [" ".join(base + base[:n]) for n in (30, 60)]
     sets = [near_dedup.weighted_shingles(t) for t in texts]
-    keys = [dict(zip(*(x.tolist() for x in near_dedup.rare_keys(*s, often[near_dedup._bucket(s[0])])))) for s in sets]
+    often = Counter(k for s in sets for k in s[0].tolist())
+    keys = []
+    for s, w in sets:
+        n = np.array([often[k] for k in s.tolist()])
+        keys.append(dict(zip(*(x.tolist() for x in near_dedup.rare_keys(s[n > 1], w[n > 1], n[n > 1], w.sum())))))
     near = [(i, j) for j in range(len(sets)) for i in range(max(0, j - 5), j) if near_dedup.similar(sets[i], sets[j])]
     total = [s[1].sum() for s in sets]
     shared = lambda i, j: len(np.intersect1d(sets[i][0], sets[j][0]))
