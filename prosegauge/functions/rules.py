@@ -35,8 +35,18 @@ def is_expert(audience: Column) -> Column:
     return F.coalesce(audience, F.lit("")).rlike(X.EXPERTS)
 
 
-def undefined_acronyms(text: Column, assumed: Column, audience: Column, dictionary: list[str] | None = None) -> Column:
-    """Distinct acronyms that are neither assumed, common, an English word in capitals nor spelt out."""
+def economy_detail(n_words: Column, facts: Column, required: Column, budget: Column) -> Column:
+    """R2: what the score rests on; without facts there is no budget in it."""
+    b = F.coalesce(F.nullif(budget, F.lit(0)), F.lit(X.ECONOMY_BUDGET))
+    some = lambda c: F.when(facts > 0, c)
+    return F.struct(
+        n_words.alias("words"), some(b).alias("budget"), F.greatest(facts, F.lit(0)).alias("facts"), required.alias("required"),
+        F.round(coverage(facts, required), 2).alias("coverage"), some(F.round(n_words / b, 2)).alias("over_budget"),
+    )
+
+
+def undefined_acronyms(text: Column, assumed: Column, audience: Column, dictionary: list[str] | None = None, bare: Column | None = None) -> Column:
+    """Distinct acronyms that are neither assumed, common, an English word in capitals nor spelt out; bare is the text without quotes."""
     shouted = F.array(*map(F.lit, [*X.SHOUTED, *(w.upper() for w in dictionary or ())]))
     known = F.concat(F.transform(assumed, F.upper), F.array(*map(F.lit, X.COMMON_ACRONYMS)))
     quoted = lambda a: F.concat(F.lit("\\Q"), a, F.lit("\\E"))
@@ -47,14 +57,14 @@ def undefined_acronyms(text: Column, assumed: Column, audience: Column, dictiona
         defined = F.rlike(text, F.concat(quoted(a), F.lit(r"(?U:\s)*\([^)]{4,}\)"))) | F.rlike(text, F.concat(F.lit(r"\([^)]*"), quoted(a), F.lit(r"[^)]*\)")))
         return ~F.array_contains(known, F.regexp_replace(a, "s+$", "")) & ~F.array_contains(shouted, up) & ~F.array_contains(shouted, base) & ~defined
 
-    found = F.array_distinct(F.regexp_extract_all(T.stripped_of_quotes(text), F.lit("(?U)" + X.ACRONYM), F.lit(0)))
+    found = F.array_distinct(F.regexp_extract_all(T.stripped_of_quotes(text) if bare is None else bare, F.lit("(?U)" + X.ACRONYM), F.lit(0)))
     return F.when(is_expert(audience), F.array().cast("array<string>")).otherwise(F.filter(found, unknown))
 
 
-def undefined_terms(text: Column, assumed: Column, audience: Column) -> Column:
+def undefined_terms(text: Column, assumed: Column, audience: Column, bare: Column | None = None) -> Column:
     """Jargon that is neither assumed nor explained on the spot; repeats stay."""
     some = "|".join(X.escaped(t) for t in sorted(X.JARGON, key=lambda t: (-len(t), t)))
-    found = F.regexp_extract_all(T.stripped_of_quotes(text), F.lit(rf"(?iu)(?U)\b(?:{some})\b(?!{X.GLOSS})"), F.lit(0))
+    found = F.regexp_extract_all(T.stripped_of_quotes(text) if bare is None else bare, F.lit(rf"(?iu)(?U)\b(?:{some})\b(?!{X.GLOSS})"), F.lit(0))
     lowered = F.filter(F.transform(found, F.lower), lambda t: ~F.array_contains(F.transform(assumed, F.lower), t))
     return F.when(is_expert(audience), F.array().cast("array<string>")).otherwise(lowered)
 
@@ -64,6 +74,13 @@ def swaps(lowered: Column) -> Column:
     return T.term_hits(lowered, list(X.SHORT_FORMS))
 
 
+def swap_map(lowered: Column) -> Column:
+    """The long phrases that occur, with their short forms."""
+    pairs = F.array(*(F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")) for k, v in X.SHORT_FORMS.items()))
+    edge = lambda k: F.concat(F.lit(r"(?U)\b\Q"), k, F.lit(r"\E\b"))
+    return F.map_from_entries(F.when(lowered.rlike(X.any_of(list(X.SHORT_FORMS))), F.filter(pairs, lambda p: F.rlike(lowered, edge(p["key"])))).otherwise(F.array().cast("array<struct<key:string,value:string>>")))
+
+
 def filler_parts(bare: Column) -> dict[str, Column]:
     """Padding, pretentious words, euphemisms and filler grammar, given the text without quotes."""
     low = F.lower(bare)
@@ -94,6 +111,11 @@ def judge_object(raw: Column) -> Column:
     return F.when(blob == "", None).otherwise(F.coalesce(whole, F.try_parse_json(F.substring(blob, F.lit(1), end))))
 
 
+def judge_error(raw: Column, parsed: Column) -> Column:
+    """Why a judge's answer gives no scores; null if it does."""
+    return F.when(parsed.isNull() | (F.try_variant_get(parsed, "$", "map<string,variant>")).isNull(), F.concat(F.lit("judge parse: no object in "), F.coalesce(F.substring(raw, 1, 200), F.lit("nothing"))))
+
+
 def facts_delivered(parsed: Column) -> Column:
     """Entries that aren't false, zero, null or empty."""
     facts = F.coalesce(F.try_variant_get(parsed, "$.facts_delivered", "array<variant>"), F.array().cast("array<variant>"))
@@ -139,11 +161,12 @@ def band(score: Column) -> Column:
     return F.when(score < X.BANDS[0][0], X.BANDS[0][1]).when(score < X.BANDS[1][0], X.BANDS[1][1]).otherwise("high")
 
 
-def cost(model: Column, tokens_in: Column, tokens_out: Column) -> Column:
-    """Dollars of a call; unknown models cost 0."""
-    dollars = F.lit(0.0)
+def cost(model: Column, tokens_in: Column, tokens_out: Column, cache_made: Column | None = None, cache_read: Column | None = None) -> Column:
+    """Dollars of a call; tokens that go to or come from a cache cost as much as read ones, unknown models and missing counts 0."""
+    some = lambda c: F.lit(0) if c is None else F.coalesce(c, F.lit(0))
+    read, dollars = some(tokens_in) + some(cache_made) + some(cache_read), F.lit(0.0)
     for name, (a, b) in reversed(X.TOKEN_RATES.items()):
-        dollars = F.when(model.contains(name), F.round(tokens_in / 1e6 * a + tokens_out / 1e6 * b, 6)).otherwise(dollars)
+        dollars = F.when(model.contains(name), F.round(read / 1e6 * a + some(tokens_out) / 1e6 * b, 6)).otherwise(dollars)
     return dollars
 
 
@@ -152,3 +175,8 @@ def contaminated(reply: Column) -> Column:
     first, whole = F.lower(T.first_answer(reply)), F.lower(reply)
     tools = reduce(lambda a, b: a | b, (first.contains(t) for t in X.TOOL_NAMES))
     return (tools & ~first.rlike(X.DENIAL)) | (whole.rlike(X.IS_AGENT) & ~whole.rlike(X.IS_NO_AGENT))
+
+
+def contamination_message(reply: Column) -> Column:
+    """Why a probe's reply stops a run; null if it doesn't."""
+    return F.when(contaminated(reply), F.concat(F.lit("the backend seems to be an agent: "), F.substring(reply, 1, 200)))

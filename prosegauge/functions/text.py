@@ -129,10 +129,15 @@ def staccato_runs(text: Column, most_words: int = X.STACCATO_WORDS, least: int =
 
     A fold over the sentences counts the run so far; lists, headings and blank lines end it.
     """
+    return staccato_of(stripped_of_quotes(text), most_words, least)
+
+
+def staccato_of(bare: Column, most_words: int = X.STACCATO_WORDS, least: int = X.STACCATO_RUN) -> Column:
+    """D3 of a text without quotes."""
     piece = lambda x: F.when((x == "") | x.rlike(X.LIST_START) | x.startswith("**"), F.array(F.lit(False))).otherwise(
         F.transform(F.filter(F.transform(split_sentences(x), trimmed), lambda s: s != ""), lambda s: s.endswith(".") & words(s).between(2, most_words) & ~s.rlike("[,;:]"))
     )
-    short = F.flatten(F.transform(F.transform(lines(stripped_of_quotes(text)), trimmed), piece))
+    short = F.flatten(F.transform(F.transform(lines(bare), trimmed), piece))
     start = F.struct(F.lit(0).alias("run"), F.lit(0).alias("runs"))
     step = lambda a, s: F.struct(F.when(s, a["run"] + 1).otherwise(0).alias("run"), (a["runs"] + F.when(s & (a["run"] + 1 == least), 1).otherwise(0)).alias("runs"))
     return F.aggregate(short, start, step, lambda a: a["runs"])
@@ -165,16 +170,16 @@ def has_terms(low: Column) -> Column:
     return low.rlike(X.any_of([t for terms in X.category_terms().values() for t in terms]))
 
 
-def slop_counts(text: Column, bare: Column, low: Column, some: Column) -> dict[str, Column]:
+def slop_counts(bare: Column, low: Column, some: Column) -> dict[str, Column]:
     """Counts of all lexical, phrasing and structural signs.
 
-    Given are the text, the text without quotes, that in lower case, and has_terms() of it.
-    The latter three should be columns of an earlier projection: the counters read them often.
+    Given are the text without quotes, that in lower case, and has_terms() of it, which should
+    be columns of an earlier projection: the counters read them often.
     """
     return (
         {k: F.when(some, term_hits(low, t)).otherwise(F.lit(0)) for k, t in X.category_terms().items()}
         | {k: phrasing_hits(bare, low, k) for k in X.PHRASING}
-        | {"rule_of_three": F.size(triples(bare)), "noun_list_fragment": F.size(noun_fragments(bare)), "staccato": staccato_runs(text)}
+        | {"rule_of_three": F.size(triples(bare)), "noun_list_fragment": F.size(noun_fragments(bare)), "staccato": staccato_of(bare)}
     )
 
 
@@ -214,18 +219,20 @@ def subordinates(sentence: Column) -> Column:
     return count_any_case(sentence, X.CLEAR_SUBORDINATORS) + count_any_case(sentence, rf"\b{X.UNSURE_SUBORDINATORS}(?={X.CLAUSE_EVIDENCE})")
 
 
-def is_flat(sentence: Column) -> Column:
-    """M4: label lines and lists."""
+def is_flat(sentence: Column, joining: Column) -> Column:
+    """M4: label lines and lists, given the sentence's subordinates."""
     label = sentence.rlike("(?dU)" + X.LABEL_LINE)
     rest = F.regexp_extract(sentence, "(?dU)" + X.LABEL_LINE, 1)
     joined = lambda s: s.rlike("(?iu)(?dU)" + X.COORDINATED)
     parts = F.size(F.filter(F.split(sentence, ",", -1), lambda p: trimmed(p) != ""))
-    return F.when(label, (subordinates(rest) == 0) & ~joined(rest) & ~rest.rlike("(?U)" + X.HARD_BREAK)).otherwise(
-        (parts >= 3) & (subordinates(sentence) == 0) & ~joined(sentence)
-    )
+    return F.when(label, (subordinates(rest) == 0) & ~joined(rest) & ~rest.rlike("(?U)" + X.HARD_BREAK)).otherwise((parts >= 3) & (joining == 0) & ~joined(sentence))
 
 
 def clauses(sentence: Column) -> Column:
     """M5."""
-    nested = 1 + subordinates(sentence) + count_any_case(sentence, X.COORDINATED) + count(sentence, X.HARD_BREAK)
-    return F.when(is_flat(sentence) | ~sentence.rlike("(?iu)(?dU)" + X.VERB_LIKE), 1).otherwise(nested)
+
+    def counted(joining: Column) -> Column:
+        nested = 1 + joining + count_any_case(sentence, X.COORDINATED) + count(sentence, X.HARD_BREAK)
+        return F.when(is_flat(sentence, joining) | ~sentence.rlike("(?iu)(?dU)" + X.VERB_LIKE), 1).otherwise(nested)
+
+    return let(subordinates(sentence), counted)

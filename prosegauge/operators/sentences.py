@@ -11,7 +11,7 @@ from prosegauge.operators.scoring import with_slop
 
 
 def sentence_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, pos, sentence): one row per sentence; documents are dealt by id first, as their lengths differ a lot."""
+    """(id, pos, sentence): one row per sentence."""
     cut = docs.select(F.col(id_column), T.sentences(F.coalesce(F.col(text_column), F.lit(""))).alias("s"))
     return cut.select(id_column, F.posexplode("s").alias("pos", "sentence"))
 
@@ -21,10 +21,20 @@ def with_mass(rows: DataFrame) -> DataFrame:
     return rows.withColumn("clauses", T.clauses(F.col("sentence"))).withColumn("mass", F.col("clauses") * F.sqrt(T.words(F.col("sentence"))))
 
 
-def erosion(rows: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """Share of mass in sentences of more than two clauses (unrounded), for documents that have sentences."""
-    heavy = F.when(F.col("clauses") > X.MANY_CLAUSES, F.col("mass")).otherwise(0.0)
-    return with_mass(rows).groupBy(id_column).agg((F.sum(heavy) / F.sum("mass")).alias("erosion"), F.count("*").alias("n_sentences"))
+def erosion(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """M7: (id, erosion, n_sentences) of each row: share of mass in sentences of more than two clauses (unrounded), 0 without sentences.
+
+    A fold over the row's sentences: nothing is shuffled.
+    """
+    cut = docs.select(F.col(id_column), T.sentences(F.coalesce(F.col(text_column), F.lit(""))).alias("s"))
+    start = F.struct(F.lit(0.0).alias("heavy"), F.lit(0.0).alias("all"))
+
+    def step(sums, sentence):
+        both = lambda n: T.let(n * F.sqrt(T.words(sentence)), lambda m: F.struct((sums["heavy"] + F.when(n > X.MANY_CLAUSES, m).otherwise(0.0)).alias("heavy"), (sums["all"] + m).alias("all")))
+        return T.let(T.clauses(sentence), both)
+
+    share = F.aggregate("s", start, step, lambda sums: F.when(sums["all"] > 0, sums["heavy"] / sums["all"]).otherwise(0.0))
+    return cut.select(id_column, share.alias("erosion"), F.size("s").cast("long").alias("n_sentences"))
 
 
 def clones(rows: DataFrame, id_column: str = "doc_id") -> DataFrame:
@@ -45,9 +55,17 @@ def clones(rows: DataFrame, id_column: str = "doc_id") -> DataFrame:
     return near.union(repeats).distinct()
 
 
-def verbosity(rows: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """Share of sentences that are clones or have a slop hit on their own (unrounded)."""
+def verbosity(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """M9: (id, verbosity) of each id: share of sentences that are clones or have a slop hit on their own (unrounded), 0 without sentences."""
+    rows = sentence_rows(docs, id_column, text_column)
     # the weighted rate counts once it rounds to 0.1 or more
     sloppy = with_slop(rows, "sentence").select(id_column, "pos", (F.round("slop", 1) > 0).alias("sloppy"))
     marked = sloppy.join(clones(rows, id_column).withColumn("clone", F.lit(True)), [id_column, "pos"], "left")
-    return marked.groupBy(id_column).agg(F.avg((F.coalesce("clone", F.lit(False)) | F.col("sloppy")).cast("int")).alias("verbosity"))
+    shares = marked.groupBy(id_column).agg(F.avg((F.coalesce("clone", F.lit(False)) | F.col("sloppy")).cast("int")).alias("verbosity"))
+    return docs.select(id_column).distinct().join(shares, id_column, "left").withColumn("verbosity", F.coalesce("verbosity", F.lit(0.0)))
+
+
+def measure(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, erosion, verbosity), rounded to three digits as in reports."""
+    both = erosion(docs, id_column, text_column).select(id_column, F.round("erosion", 3).alias("erosion"))
+    return both.join(verbosity(docs, id_column, text_column).withColumn("verbosity", F.round("verbosity", 3)), id_column)
