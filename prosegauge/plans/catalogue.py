@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prosegauge.functions import fixed as X
+from prosegauge.functions import prompts
 from prosegauge.functions import rules as R
 from prosegauge.functions import text as T
 from prosegauge.operators import scoring, sentences, trajectory
@@ -325,10 +326,20 @@ def by_sample_size(spark, sf_dir):
     return sizes.withColumn("block", F.dense_rank().over(Window.orderBy(F.col("n").desc())))
 
 
-@query(f"WITH {_SCORED}, {_RUNS} SELECT model, count(*) AS n, round(avg(score), 6) AS score, round(avg(n_words), 6) AS n_words FROM runs WHERE error IS NULL AND item BETWEEN 1 AND 20 GROUP BY model HAVING count(*) >= 19")
+#: Each model's rows are its items by id; failed ones leave a gap, so that some models lack an item.
+_FIRST_ITEMS = 12
+
+
+@query(
+    f"WITH {_SCORED}, {_RUNS}, placed AS (SELECT model, error, score, n_words, row_number() OVER (PARTITION BY model ORDER BY doc_id) AS place FROM runs), "
+    f"had AS (SELECT * FROM placed WHERE error IS NULL AND place <= {_FIRST_ITEMS}) "
+    f"SELECT model, count(*) AS n, round(avg(score), 6) AS score, round(avg(n_words), 6) AS n_words FROM had GROUP BY model HAVING count(DISTINCT place) = {_FIRST_ITEMS}"
+)
 def first_n_comparable(spark, sf_dir):
-    rows = runs(spark, sf_dir).where((F.col("item") >= 1) & F.col("error").isNull() & (F.col("item") <= 20))
-    return rows.groupBy("model").agg(F.count("*").alias("n"), _r(F.avg("score")).alias("score"), _r(F.avg("n_words")).alias("n_words")).where("n >= 19")
+    from pyspark.sql import Window
+
+    rows = runs(spark, sf_dir).withColumn("item", F.row_number().over(Window.partitionBy("model").orderBy("doc_id")))
+    return scoring.first_n(rows, _FIRST_ITEMS).select("model", "n", _r(F.col("score")).alias("score"), _r(F.col("n_words")).alias("n_words"))
 
 
 @query(f"WITH {_SCORED} SELECT CASE WHEN score < 70 THEN 'low' WHEN score < 85 THEN 'mid' ELSE 'high' END AS band, count(*) AS n FROM scored GROUP BY ALL")
@@ -336,10 +347,10 @@ def bands(spark, sf_dir):
     return scored(spark, sf_dir).groupBy(R.band(F.col("score")).alias("band")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_SCORED} SELECT a.doc_id::VARCHAR AS better, b.doc_id::VARCHAR AS worse, round(a.score, 6) > round(b.score, 6) AS holds FROM scored a JOIN scored b ON b.doc_id = a.doc_id + 7 WHERE a.doc_id % 5 = 0")
+@query(f"WITH {_SCORED} SELECT a.doc_id::VARCHAR AS better, b.doc_id::VARCHAR AS worse, round(a.score, 6) > round(b.score, 6) AS holds FROM scored a JOIN scored b ON b.doc_id = a.doc_id + 7")
 def pair_checks(spark, sf_dir):
     names = scored(spark, sf_dir).select(F.col("doc_id").cast("string").alias("name"), _r(F.col("score")).alias("score"))
-    pairs = read(spark, sf_dir, "documents").where("doc_id % 5 = 0").select(F.col("doc_id").cast("string").alias("better"), (F.col("doc_id") + 7).cast("string").alias("worse"))
+    pairs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("better"), (F.col("doc_id") + 7).cast("string").alias("worse"))
     return scoring.pair_checks(names, pairs)
 
 
@@ -355,6 +366,65 @@ def rejudge_delta(spark, sf_dir):
 _SENTS = f"{DOCS}, {S.sentence_ctes('docs', 'doc_id')}"
 
 
+_ROUNDED = _SCORED.replace(
+    "ruled AS (", "digits AS MATERIALIZED (SELECT * REPLACE (round(slop, 1) AS slop) FROM feats), ruled AS ("
+).replace(" AS coverage FROM feats)", " AS coverage FROM digits)")
+for _rule, _was in (("rule2", _ECONOMY("facts", "n_words")), ("rule3", S.to_10("(acronyms + terms)", "n_words", 6.0)), ("rule5", S.to_10("swaps", "n_words", 5.0)), ("rule6", S.to_10("weight", "n_words", 6.0))):
+    _ROUNDED = _ROUNDED.replace(f"least({_was}, j_", f"least(round({_was}, 1), j_")
+
+
+@query(
+    f"WITH {_ROUNDED} SELECT doc_id, " + ", ".join(scoring.RULES)
+    + ", round(clarity, 2) AS clarity, round(slop, 1) AS slop, round(score, 1) AS score FROM scored"
+)
+def rounded_scores(spark, sf_dir):
+    """Final scores with the digits of a report."""
+    made = scoring.with_scores(items(docs(spark, sf_dir)).withColumn("judge", F.expr(JUDGE)), rounded=True)
+    return made.select("doc_id", *scoring.RULES, "clarity", "slop", "score")
+
+
+_FREE = (
+    f"{DOCS}, {_ITEMS}, {S.slop_ctes('docs', 'doc_id')}, feats AS MATERIALIZED (SELECT i.doc_id, budget, required, n_words, slop, {_ACRONYMS.replace('text', 'i.text')} AS acronyms, {_TERMS.replace('text', 'i.text')} AS terms, "
+    f"{S.term_hits('low', list(X.SHORT_FORMS))} AS swaps, {S.term_hits('low', X.PADDING)} + {S.term_hits('low', X.PRETENTIOUS)} + 3 * {S.term_hits('low', X.EUPHEMISMS)} + {_GRAMMAR} AS weight, "
+    f"{S.scaffold('i.text')[0]} AS h, {S.scaffold('i.text')[1]} AS l FROM items i JOIN slop s ON i.doc_id = s.doc_id), "
+    f"ruled AS (SELECT doc_id, slop, 10.0::DOUBLE AS rule1, {_ECONOMY('required', 'n_words')} AS rule2, {S.to_10('(acronyms + terms)', 'n_words', 6.0)} AS rule3, 10.0::DOUBLE AS rule4, {S.to_10('swaps', 'n_words', 5.0)} AS rule5, "
+    f"{S.to_10('weight', 'n_words', 6.0)} AS rule6, least(10.0::DOUBLE, {S.scaffold_score('h', 'l', 'budget')}) AS rule7 FROM feats), "
+    "meant AS (SELECT *, (rule1 + rule2 * 0.75 + rule3 + rule4 + rule5 + rule6 + rule7) / 6.75 AS m FROM ruled), "
+    f"free AS (SELECT doc_id, 10 * CASE WHEN least(rule1, rule3, rule5, rule6, rule7) < {X.FLOOR} THEN least(m, {X.FLOOR_CAP}::DOUBLE) ELSE m END * (1 - {_TAX}) AS score FROM meant)"
+)
+_BAND = "CASE WHEN round(score, 1) < 70 THEN 'low' WHEN round(score, 1) < 85 THEN 'mid' ELSE 'high' END"
+_EXPECT = _PICK(3, "low", "mid", "high")
+
+
+@query(f"WITH {_FREE} SELECT doc_id::VARCHAR AS name, {_EXPECT} AS expect, {_BAND} AS band, round(score, 6) AS score, {_EXPECT} = {_BAND} AS holds FROM free WHERE doc_id % 4 <> 1")
+def control_checks(spark, sf_dir):
+    """Cases scored without a judge: every document is one; those that need a judge are skipped."""
+    cases = items(docs(spark, sf_dir)).withColumns({"name": F.col("doc_id").cast("string"), "expect": F.expr(_EXPECT), "needs_judge": F.when(F.col("doc_id") % 4 < 2, F.col("doc_id") % 4 == 1)})
+    return scoring.control_checks(scoring.with_scores(cases, judged=False)).withColumn("score", _r(F.col("score")))
+
+
+#: Judge answers of which some hold no object: refusals, a list, an object that is cut off.
+_ODD_JUDGE = _PICK(6, '{"clarity": "opaque", "clarity_quote": "one two three four"}', "no object at all", '[1, 2]', '{"clarity": "clear"', 'Sure: {"clarity": "needs_a_reread", "clarity_quote": "these are four words"} bye', "")
+
+
+@query(f"WITH raw AS (SELECT doc_id, {_ODD_JUDGE} AS judge FROM documents) SELECT doc_id, doc_id % 6 NOT IN (0, 4) AS failed, CASE doc_id % 6 WHEN 0 THEN 0.0::DOUBLE WHEN 4 THEN 5.0::DOUBLE END AS rule1 FROM raw")
+def judge_errors(spark, sf_dir):
+    """Judge answers without an object are errors and give no score."""
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.expr(_ODD_JUDGE).alias("judge")).withColumn("p", R.judge_object(F.col("judge")))
+    rows = rows.withColumn("wrong", R.judge_error(F.col("judge"), F.col("p")))
+    return rows.select("doc_id", F.col("wrong").isNotNull().alias("failed"), F.when(F.col("wrong").isNull(), R.judged_scores(F.col("p"))["clarity"]).alias("rule1"))
+
+
+@query(f"WITH {_ROUNDED}, {_RUNS.replace('round(n_words', 'round(n_words')} SELECT model, count(*) FILTER (error IS NULL) AS n, count(*) FILTER (error IS NOT NULL) AS errors, round(avg(round(score, 1)) FILTER (error IS NULL), 6) AS score, round(avg(round(clarity, 2)) FILTER (error IS NULL), 6) AS clarity, round(avg(slop) FILTER (error IS NULL), 6) AS slop FROM runs GROUP BY model")
+def rescore(spark, sf_dir):
+    """Saved rows scored anew with their saved judgements, and the summary made again."""
+    saved = items(docs(spark, sf_dir)).withColumn("judge", F.expr(JUDGE))
+    rows = saved.select(F.col("source").alias("model"), F.col("doc_id").alias("id"), F.col("text").alias("response"), "judge", F.when(F.col("doc_id") % 17 == 0, "failed").alias("error"))
+    known = saved.select(F.col("doc_id").alias("id"), "budget", "required", "assumed", "audience")
+    made = scoring.run_summary(scoring.rescored(rows, known).withColumn("cost", F.lit(0.0)))
+    return made.select("model", "n", "errors", *(_r(F.col(c)).alias(c) for c in ("score", "clarity", "slop")))
+
+
 def sents(spark, sf_dir):
     return sentences.sentence_rows(docs(spark, sf_dir))
 
@@ -367,9 +437,9 @@ def sentence_mass(spark, sf_dir):
 _EROSION = f"sum(CASE WHEN clauses > {X.MANY_CLAUSES} THEN mass ELSE 0 END) / sum(mass)"
 
 
-@query(f"WITH {_SENTS}, {S.mass_ctes('sents', 'doc_id')} SELECT doc_id, round({_EROSION}, 6) AS erosion, count(*) AS n_sentences FROM mass GROUP BY doc_id")
+@query(f"WITH {_SENTS}, {S.mass_ctes('sents', 'doc_id')} SELECT doc_id, coalesce(round({_EROSION}, 6), 0) AS erosion, count(mass.doc_id) AS n_sentences FROM docs LEFT JOIN mass USING (doc_id) GROUP BY doc_id")
 def erosion(spark, sf_dir):
-    return sentences.erosion(sents(spark, sf_dir)).withColumn("erosion", _r(F.col("erosion")))
+    return sentences.erosion(docs(spark, sf_dir)).withColumn("erosion", _r(F.col("erosion")))
 
 
 @query(f"WITH {_SENTS}, {S.clone_ctes('sents', 'doc_id')} SELECT * FROM clones")
@@ -380,12 +450,21 @@ def clones(spark, sf_dir):
 _VERBOSE = f"{_SENTS}, {S.clone_ctes('sents', 'doc_id')}, each AS (SELECT doc_id, pos, sentence AS text FROM sents), {S.slop_ctes('each', 'doc_id, pos')}"
 
 
+_VERBOSITY = "shares AS (SELECT s.doc_id, avg(CASE WHEN c.pos IS NOT NULL OR round(slop, 1) > 0 THEN 1 ELSE 0 END) AS verbosity FROM slop s LEFT JOIN clones c ON s.doc_id = c.doc_id AND s.pos = c.pos GROUP BY s.doc_id)"
+
+
+@query(f"WITH {_VERBOSE}, {_VERBOSITY} SELECT doc_id, coalesce(round(verbosity, 6), 0) AS verbosity FROM docs LEFT JOIN shares USING (doc_id)")
+def verbosity(spark, sf_dir):
+    return sentences.verbosity(docs(spark, sf_dir)).withColumn("verbosity", _r(F.col("verbosity")))
+
+
 @query(
-    f"WITH {_VERBOSE} SELECT s.doc_id, round(avg(CASE WHEN c.pos IS NOT NULL OR round(slop, 1) > 0 THEN 1 ELSE 0 END), 6) AS verbosity "
-    "FROM slop s LEFT JOIN clones c ON s.doc_id = c.doc_id AND s.pos = c.pos GROUP BY s.doc_id"
+    f"WITH {_VERBOSE}, {_VERBOSITY}, {S.mass_ctes('sents', 'doc_id')}, worn AS (SELECT doc_id, {_EROSION} AS erosion FROM mass GROUP BY doc_id) "
+    "SELECT doc_id, coalesce(round(erosion, 3), 0) AS erosion, coalesce(round(verbosity, 3), 0) AS verbosity FROM docs LEFT JOIN worn USING (doc_id) LEFT JOIN shares USING (doc_id)"
 )
-def verbosity(spark, sf_dir):
-    return sentences.verbosity(sents(spark, sf_dir)).withColumn("verbosity", _r(F.col("verbosity")))
+def measure(spark, sf_dir):
+    """Erosion and verbosity with the digits of a report."""
+    return sentences.measure(docs(spark, sf_dir))
 
 
 #: Assistant turns are the versions of a chain, user turns the specifications it should follow.
@@ -403,8 +482,8 @@ def steps(spark, sf_dir):
 
 def _drifts(spark, sf_dir):
     rows = steps(spark, sf_dir)
-    worn = sentences.erosion(sentences.sentence_rows(rows)).select("doc_id", "erosion")
-    valued = rows.join(worn, "doc_id", "left").select("conv_id", "checkpoint", F.coalesce("erosion", F.lit(0.0)).alias("erosion"), T.words(F.col("text")).cast("double").alias("words"))
+    named = rows.withColumn("key", F.struct("conv_id", "checkpoint", T.words(F.col("text")).cast("double").alias("words")))
+    valued = sentences.erosion(named, "key").select("key.*", "erosion")
     expected = read(spark, sf_dir, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.count("*").alias("expected"))
     return trajectory.chains(valued, "conv_id", ["erosion", "words"], expected)
 
@@ -452,6 +531,23 @@ def cumulative_specs(spark, sf_dir):
     return every.select("conv_id", "turn", F.size("asks").cast("long").alias("n_specs"), F.aggregate("asks", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("n_chars"), F.coalesce(F.length("prior"), F.lit(0)).cast("long").alias("prior_chars"))
 
 
+@query(
+    "WITH said AS (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations WHERE role = 'user'), "
+    "listed AS (SELECT *, list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS specs, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prior FROM said), "
+    "told AS (SELECT *, array_to_string(list_transform(range(1, len(specs) + 1), lambda i: i || '. ' || specs[i]), chr(10)) AS judged, array_to_string(list_transform(range(1, len(specs)), lambda i: i || '. ' || specs[i]), chr(10)) AS before FROM listed) "
+    "SELECT conv_id, turn, CASE WHEN len(specs) = 1 THEN length(specs[1]) ELSE length(judged) END AS judged_chars, CASE WHEN prior IS NULL THEN length(text) ELSE length(prior) + length(before) + length(text) END AS filled_chars FROM told"
+)
+def chain_prompts(spark, sf_dir):
+    """What a chain's model and judge are asked at each step: lengths of what is filled in."""
+    rows = read(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text")).withColumn("asks", F.array("text"))
+    every = trajectory.cumulative(trajectory.with_prior(rows, "conv_id", "turn", "text"), "conv_id", "turn", "asks")
+    # the frame around what is filled in has a fixed length
+    frame = every.withColumns({"made": F.length(prompts.extend_prompt(F.col("prior"), F.col("asks"))), "bare": F.length(prompts.extend_prompt(F.when(F.col("prior").isNotNull(), ""), F.transform("asks", lambda x: F.lit(""))))})
+    marks = F.aggregate(F.sequence(F.lit(1), F.size("asks")), F.lit(0), lambda n, i: n + F.when(i < F.size("asks"), F.length(i.cast("string")) + F.when(i > 1, 3).otherwise(2)).otherwise(0))
+    filled = F.when(F.col("prior").isNull(), F.length("text")).otherwise(F.col("made") - F.col("bare") + marks)
+    return frame.select("conv_id", "turn", F.length(prompts.judged_prompt(F.col("asks"))).cast("long").alias("judged_chars"), filled.cast("long").alias("filled_chars"))
+
+
 @query(
     "WITH steps AS (SELECT conv_id, turn, CASE WHEN turn % 5 = 3 THEN 'failed' END AS error FROM conversations) SELECT conv_id, turn FROM (SELECT *, coalesce(max(CASE WHEN error IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS broken FROM steps) WHERE broken = 0"
 )
