@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prosegauge.functions import fixed as X
+from prosegauge.functions import prompts
 from prosegauge.functions import rules as R
 from prosegauge.functions import text as T
 from prosegauge.operators import scoring, sentences, trajectory
@@ -122,15 +123,18 @@ def test_trend_and_chains(spark):
     assert (done.complete, done.truncated, done.pct_v_rising) == (2, 1, 50.0)
 
 
-def test_rejudge_refuses_gaps(spark):
+def test_rejudge_refuses_gaps(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "id long, judge string")
-    with pytest.raises(ValueError):
-        scoring.rejudged(rows, rows.where("id = 1"), "id")
+    with pytest.raises(Exception, match="no new judgement for row 2"):
+        scoring.rejudged(rows, rows.where("id = 1"), "id").write.parquet(str(tmp_path / "out"))
+    assert not list((tmp_path / "out").glob("*.parquet"))
+    assert sorted(map(tuple, scoring.rejudged(rows, rows.withColumn("judge", F.lit("new")), "id").collect())) == [(1, "new"), (2, "new")]
 
 
 def test_first_n_drops_short_models(spark):
     rows = spark.createDataFrame([("a", 1, None, 5.0, 3), ("a", 2, None, 7.0, 3), ("b", 1, None, 9.0, 3)], "model string, item long, error string, score double, n_words int")
     assert [(r.model, r.score) for r in scoring.first_n(rows, 2).collect()] == [("a", 6.0)]
+    assert [r.item for r in scoring.limited(rows.where("model = 'a'"), 1, "item").collect()] == [1]
 
 
 def test_gates_let_through_texts_without_apostrophes(spark):
@@ -146,3 +150,97 @@ def test_gates_let_through_texts_without_apostrophes(spark):
         row = frame.where(F.col("text") == text).select(F.lower("text").rlike(X.PHRASING_NEEDS[name]).alias("gate"), F.col("text").rlike("(?i)" + X.PHRASING[name]).alias("hit")).first()
         assert row.hit and row.gate, (name, text)
     assert {n for n, _ in said} == set(X.PHRASING_NEEDS)
+
+
+def test_gates_never_lose_a_match(spark):
+    """Random texts of the patterns' own words: a gated count is the ungated one."""
+    rng = random.Random(9)
+    words = """not just only merely but also it's its it this that this's the tool isn't wasn't is less more serves stands as boasts highlighting
+    ensuring from to no fuss wasted guessing has been were was are had fully taken identified by oaicite turn1search2 [cite: 3] grok_card - **A** : , . ; , , a b""".split()
+    texts = ["".join(rng.choice(words) + rng.choice((" ", " ", " ", "\n", "  ", "", ", ", " \u00a0")) for _ in range(rng.randint(2, 14))) for _ in range(4000)]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    made = []
+    for name, needs in X.PHRASING_NEEDS.items():
+        pattern = X.PHRASING[name] + (rf"(?!{X.AGENT})" if name == "agentless_passive" else "")
+        hit, gate = T.count_any_case(F.col("t"), pattern) > 0, F.lower("t").rlike(needs)
+        made += [F.count_if(hit & ~gate).alias(f"{name}_lost"), F.count_if(hit).alias(f"{name}_hits")]
+    got = frame.agg(*made).first().asDict()
+    assert [n for n in X.PHRASING_NEEDS if got[f"{n}_lost"]] == [] and sum(got[f"{n}_hits"] > 0 for n in X.PHRASING_NEEDS) >= 6
+    lists = {k: v for k, v in X.category_terms().items()} | {"short": list(X.SHORT_FORMS), "padding": X.PADDING, "pretentious": X.PRETENTIOUS, "euphemism": X.EUPHEMISMS}
+    terms = [t for v in lists.values() for t in v]
+    said = spark.createDataFrame([(rng.choice((" ", "x ", "-", "_", "9", "(")) + t + rng.choice((" ", "", "a", ".", "-b", "_")),) for t in terms for _ in range(3)], "t string")
+    lost = said.agg(*(F.count_if((sum((T.count(F.col("t"), X.term_pattern(t)) for t in v), F.lit(0)) != T.term_hits(F.col("t"), v))).alias(k) for k, v in lists.items())).first()
+    assert set(lost) == {0}
+
+
+def test_judge_errors_and_free_scores(spark):
+    rows = [(1, '{"clarity": "clear"}'), (2, "I cannot judge this."), (3, None), (4, "[1, 2]")]
+    docs = spark.createDataFrame(rows, "id long, judge string").withColumns({"text": F.lit("Plain words here."), "budget": F.lit(0), "required": F.lit(1), "assumed": F.array(F.lit("x")), "audience": F.lit("")})
+    got = {r.id: r for r in scoring.with_scores(docs).collect()}
+    assert got[1].judge_error is None and got[1].score is not None
+    assert all(got[i].judge_error and got[i].score is None and got[i].rule1 is None and got[i].clarity is None for i in (2, 3, 4))
+    free = scoring.with_scores(docs.drop("judge"), judged=False).first()
+    assert (free.rule1, free.rule4, free.rule7, free.coverage, free.score) == (10.0, 10.0, 10.0, 1.0, 100.0)
+    heads = scoring.with_scores(docs.withColumn("text", F.lit("# a\n" * 40)).drop("judge"), judged=False).first()
+    assert heads.rule7 == 0.0 and heads.clarity == 5.5
+
+
+def test_rounding_follows_reports(spark):
+    long = "word " * 333
+    docs = spark.createDataFrame([(f"{long} delve numerous",)], "text string").withColumns({"budget": F.lit(300), "required": F.lit(3), "assumed": F.array(F.lit("x")), "audience": F.lit("")})
+    exact, cut = (scoring.with_scores(docs, judged=False, rounded=r).first() for r in (False, True))
+    assert (cut.slop, cut.rule2, cut.rule5) == (round(exact.slop, 1), round(exact.rule2, 1), round(exact.rule5, 1))
+    assert cut.score == round(10 * sum(w * r for w, r in ((1, 10), (0.75, cut.rule2), (1, 10), (1, 10), (1, cut.rule5), (1, cut.rule6), (1, 10))) / 6.75 * (1 - 0.3 * cut.slop / 20), 1)
+
+
+def test_summary_fails_without_scored_rows(spark):
+    row = spark.createDataFrame([("m", "bad")], "model string, error string").withColumns({c: F.lit(None).cast("double") for c in ("score", "clarity", "slop", "n_words", "cost", *scoring.RULES)})
+    assert scoring.run_summary(row).first().errors == 1
+    with pytest.raises(Exception, match="all prompts failed: m"):
+        scoring.run_summary(row, strict=True).collect()
+
+
+def test_controls_skip_what_needs_a_judge(spark):
+    rows = spark.createDataFrame([("a", "low", None, 69.94, None), ("b", "mid", False, 69.96, None), ("c", "high", True, 10.0, None)], "name string, expect string, needs_judge boolean, score double, x int")
+    assert sorted((r.name, r.band, r.holds) for r in scoring.control_checks(rows).collect()) == [("a", "low", True), ("b", "mid", True)]
+    assert scoring.control_checks(rows.withColumn("judged", F.lit(True))).count() == 3
+
+
+def test_rule_details(spark):
+    docs = spark.createDataFrame([("In order to utilize TLS we leverage throughput.", 0, 2, 5, ["x"], "")], "text string, facts int, required int, budget int, assumed array<string>, audience string")
+    got = scoring.score_all(docs).first()
+    assert got.detail.swaps == {"in order to": "to", "utilize": "use"} and got.detail.jargon == ["TLS", "throughput"]
+    assert got.rule2 == 0.0 and got.detail.economy.coverage == 0.0 and got.detail.economy.budget is None and got.detail.filler.pretentious == 2
+    some = scoring.score_all(docs.withColumn("facts", F.lit(3))).first().detail.economy
+    assert (some.budget, some.coverage, some.over_budget) == (5, 1.0, 1.6)
+
+
+def test_word_list_as_a_table(spark):
+    docs = spark.createDataFrame([(1, "GRAVY and TLS and HOUSES and QXZ", [""], "")], "doc_id long, text string, assumed array<string>, audience string")
+    words = spark.createDataFrame([("gravy",), ("house",), ("HOUSE",)], "word string")
+    assert sorted(r.acronym for r in scoring.unknown_acronyms(docs, words).collect()) == ["QXZ", "TLS"]
+
+
+def test_prompts(spark):
+    asks = F.array(F.lit("first"), F.lit("second"))
+    said = one(spark, prompts.judge_prompt(F.col("a"), F.col("p"), asks, F.col("r")), a="a cook", p="How?", r="Like this {x}.")
+    assert all(x in said for x in ("a cook", "How?", "1. first\n2. second", "Like this {x}.", '"facts_delivered"', "needs_a_reread"))
+    assert one(spark, prompts.extend_prompt(F.lit(None).cast("string"), F.array(F.lit("s")))) == "s"
+    more = one(spark, prompts.extend_prompt(F.lit("old text"), asks))
+    assert "old text" in more and "1. first" in more and "2. second" not in more and "second" in more
+    assert one(spark, prompts.judged_prompt(asks)) == "1. first\n2. second" and one(spark, prompts.judged_prompt(F.array(F.lit("s")))) == "s"
+    assert one(spark, prompts.with_condition(F.lit("p"), "brief")).startswith("p\n\nAnswer in 50") and one(spark, prompts.with_condition(F.lit("p"))) == "p"
+    with pytest.raises(ValueError):
+        prompts.with_condition(F.lit("p"), "odd")
+
+
+def test_cost_counts_cached_tokens(spark):
+    price = lambda *a: one(spark, R.cost(F.lit("a-sonnet"), *(F.lit(x).cast("long") for x in a)))
+    assert price(1000, 100) == pytest.approx(0.0045) and price(1000, 100, 2000, None) == pytest.approx(0.0105) and price(None, None) == 0.0
+
+
+def test_sentence_measures_of_empty_texts(spark):
+    docs = spark.createDataFrame([(1, ""), (2, None), (3, "We ship it today because the team that waits is late and the others are early, so we go.")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.erosion > 0, r.n_sentences) for r in sentences.erosion(docs).collect()) == [(1, False, 0), (2, False, 0), (3, True, 1)]
+    assert sorted((r.doc_id, r.verbosity) for r in sentences.verbosity(docs).collect()) == [(1, 0.0), (2, 0.0), (3, 0.0)]
+    assert sentences.measure(docs).count() == 3
