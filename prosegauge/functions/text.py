@@ -11,6 +11,8 @@ from prosegauge.functions import fixed as X
 
 #: (?d): only \n ends a line; (?U): Unicode classes.
 _U = "(?dU)"
+#: Stands before each place of a term; those of the text itself become another sign that no term has.
+_MARK, _NO_MARK = "\x01", "\x02"
 
 
 def let(value: Column, body) -> Column:
@@ -81,10 +83,32 @@ def first_answer(text: Column) -> Column:
     return F.element_at(F.split(text, X.SECOND_ANSWER, 2), 1)
 
 
+def term_places(lowered: Column, terms: list[str]) -> Column:
+    """Each place where one of the terms may stand, behind a mark and as long as the longest term and what follows it: one pass, however many terms."""
+    most = max(map(len, terms)) + 1
+    near = F.regexp_extract_all(lowered, F.lit(rf"(?={X.any_of(terms)})(?U:\b)(?=((?s:.){{0,{most}}}))"), F.lit(1))
+    return F.array_join(F.transform(near, lambda x: F.concat(F.lit(_MARK), F.translate(x, _MARK, _NO_MARK))), "")
+
+
+def hits_at(places: Column, lowered: Column, terms: list[str]) -> Column:
+    """Occurrences of all terms, each counted on its own, given the text's term_places() of these terms or more.
+
+    A term that can overlap itself has fewer occurrences than places, and is counted in the text.
+    """
+    at = lambda t: F.regexp_count(places, F.lit(rf"(?U){_MARK}{X.escaped(t)}\b"))
+    each = (F.when(at(t) > 1, count(lowered, X.term_pattern(t))).otherwise(at(t)) if overlaps_itself(t) else at(t) for t in terms)
+    return F.when(places != "", reduce(lambda a, b: a + b, each)).otherwise(F.lit(0))
+
+
+def overlaps_itself(term: str) -> bool:
+    """Whether the term ends as it begins, at word boundaries: end-to-end-to-end."""
+    inside = lambda k: term[k - 1].isalnum() and term[k].isalnum()
+    return any(term.startswith(term[k:]) and not inside(k) for k in range(1, len(term)))
+
+
 def term_hits(lowered: Column, terms: list[str]) -> Column:
-    """Occurrences of all terms, each counted on its own; a text without any is ruled out by one test."""
-    each = (F.regexp_count(lowered, F.lit("(?U)" + X.term_pattern(t))) for t in terms)
-    return F.when(lowered.rlike(X.any_of(terms)), reduce(lambda a, b: a + b, each)).otherwise(F.lit(0))
+    """Occurrences of all terms, each counted on its own."""
+    return let(term_places(lowered, terms), lambda places: hits_at(places, lowered, terms))
 
 
 def phrasing_hits(stripped: Column, lowered: Column, name: str) -> Column:
@@ -165,19 +189,19 @@ def shape(text: Column) -> dict[str, Column]:
     }
 
 
-def has_terms(low: Column) -> Column:
-    """Whether a term of any category may occur."""
-    return low.rlike(X.any_of([t for terms in X.category_terms().values() for t in terms]))
+def sign_places(low: Column) -> Column:
+    """term_places() of the terms of all categories."""
+    return term_places(low, [t for terms in X.category_terms().values() for t in terms])
 
 
-def slop_counts(bare: Column, low: Column, some: Column) -> dict[str, Column]:
+def slop_counts(bare: Column, low: Column, places: Column) -> dict[str, Column]:
     """Counts of all lexical, phrasing and structural signs.
 
-    Given are the text without quotes, that in lower case, and has_terms() of it, which should
+    Given are the text without quotes, that in lower case, and sign_places() of it, which should
     be columns of an earlier projection: the counters read them often.
     """
     return (
-        {k: F.when(some, term_hits(low, t)).otherwise(F.lit(0)) for k, t in X.category_terms().items()}
+        {k: hits_at(places, low, t) for k, t in X.category_terms().items()}
         | {k: phrasing_hits(bare, low, k) for k in X.PHRASING}
         | {"rule_of_three": F.size(triples(bare)), "noun_list_fragment": F.size(noun_fragments(bare)), "staccato": staccato_of(bare)}
     )

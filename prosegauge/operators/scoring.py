@@ -15,9 +15,9 @@ RULES = tuple(f"rule{k}" for k in range(1, 8))
 def with_slop(docs: DataFrame, text_column: str = "text", keep: bool = False) -> DataFrame:
     """Adds n_words, the struct of counts, slop (per 1,000 words, unrounded) and slop_tax; keep leaves the text without quotes (_bare) and that in lower case (_low)."""
     text = F.col(text_column)
-    ready = docs.withColumn("_bare", T.stripped_of_quotes(text)).withColumn("_low", F.lower("_bare")).withColumn("_some", T.has_terms(F.col("_low")))
-    made = T.slop_counts(F.col("_bare"), F.col("_low"), F.col("_some"))
-    counted = ready.withColumn("counts", F.struct(*(c.cast("int").alias(k) for k, c in made.items()))).withColumn("n_words", T.words(text)).drop("_some")
+    ready = docs.withColumn("_bare", T.stripped_of_quotes(text)).withColumn("_low", F.lower("_bare")).withColumn("_places", T.sign_places(F.col("_low")))
+    made = T.slop_counts(F.col("_bare"), F.col("_low"), F.col("_places"))
+    counted = ready.withColumn("counts", F.struct(*(c.cast("int").alias(k) for k, c in made.items()))).withColumn("n_words", T.words(text)).drop("_places")
     names = [f.name for f in counted.schema["counts"].dataType.fields]
     rate = T.slop_rate({k: F.col(f"counts.{k}") for k in names}, F.col("n_words"))
     rated = counted.withColumn("slop", rate).withColumn("slop_tax", T.slop_tax(F.col("slop")))

@@ -16,6 +16,7 @@ from prosegauge.functions import rules as R
 from prosegauge.functions import text as T
 from prosegauge.operators import scoring, sentences, trajectory
 from prosegauge.plans import sql as S
+from prosegauge.sources.tables import spread
 
 PASSAGES = (
     " We delve into the robust realm. It's not a tool. It's a partner, and the plan was approved because it is able to scale.",
@@ -81,7 +82,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     passage = F.element_at(F.array(*map(F.lit, PASSAGES)), (F.col("doc_id") % 11 + 1).cast("int"))
     text = F.regexp_replace(F.concat(F.coalesce("text", F.lit("")), passage), _FOLD, "q")
-    return read(spark, sf_dir, "documents").select("doc_id", "source", "lang", text.alias("text"))
+    rows = spread(read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
+    return rows.select("doc_id", "source", "lang", text.alias("text"))
 
 
 def items(df: DataFrame) -> DataFrame:

@@ -18,6 +18,12 @@ SUMMARY = "model STRING, backend STRING, condition STRING, judge_model STRING, j
 RUN = "id INT, genre STRING, response STRING, judge STRING, cost_usd DOUBLE, seconds DOUBLE, error STRING"
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows dealt evenly over all cores where the scan makes fewer tasks than these (one large row group, small files); else as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def _struct(ddl: str) -> str:
     return "STRUCT<" + ", ".join(f"{p.split(' ', 1)[0]}: {p.split(' ', 1)[1]}" for p in _top(ddl)) + ">"
 

@@ -169,6 +169,9 @@ def test_gates_never_lose_a_match(spark):
     lists = {k: v for k, v in X.category_terms().items()} | {"short": list(X.SHORT_FORMS), "padding": X.PADDING, "pretentious": X.PRETENTIOUS, "euphemism": X.EUPHEMISMS}
     terms = [t for v in lists.values() for t in v]
     said = spark.createDataFrame([(rng.choice((" ", "x ", "-", "_", "9", "(")) + t + rng.choice((" ", "", "a", ".", "-b", "_")),) for t in terms for _ in range(3)], "t string")
+    joints = (" ", "-", ", ", "\x01", "\u0301", "\u00e9", "_", "", "-to-end ", ". ", "\n")
+    mixed = ["".join(rng.choice(terms) + rng.choice(joints) for _ in range(rng.randint(2, 12))) for _ in range(1500)]
+    said = said.union(spark.createDataFrame([(t,) for t in [*mixed, "end-to-end-to-end", "an end-to-end-to-end-to-end end-to-end", ""]], "t string"))
     lost = said.agg(*(F.count_if((sum((T.count(F.col("t"), X.term_pattern(t)) for t in v), F.lit(0)) != T.term_hits(F.col("t"), v))).alias(k) for k, v in lists.items())).first()
     assert set(lost) == {0}
 
