@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prosegauge.functions import fixed as X
@@ -40,18 +40,21 @@ def erosion(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
 def clones(rows: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """(id, pos) of sentences that share half of the smaller shingle set with an earlier one.
 
-    Sentences that share no shingle can't qualify, so an equi-join on (id, shingle) is exact.
-    Of sentences with the same shingle set only the first is compared with others (a later
-    one is its clone already, and is like others just as the first is), so a line that is
-    repeated throughout a document makes no square of pairs.
+    Sentences that share no shingle can't qualify, so pairs are made from the places of each
+    shingle of a document; most have one place and go. Of sentences with the same shingle set
+    only the first is compared with others (a later one is its clone already, and is like others
+    just as the first is), so a line that is repeated throughout a document makes no square of
+    pairs. A list of places is no longer than the document has sentences.
     """
     sets = rows.select(id_column, "pos", T.shingles(F.col("sentence")).alias("set")).where(F.size("set") > 0).withColumn("key", F.xxhash64(F.array_sort("set")))
-    firsts = sets.groupBy(id_column, "key").agg(F.min("pos").alias("first"), F.min_by("set", "pos").alias("set"))
-    repeats = sets.join(firsts.select(id_column, "key", "first"), [id_column, "key"]).where(F.col("pos") > F.col("first")).select(id_column, "pos")
-    parts = firsts.select(id_column, F.col("first").alias("pos"), F.size("set").alias("n"), F.explode("set").alias("shingle"))
-    early = parts.select(id_column, F.col("pos").alias("before"), F.col("n").alias("m"), "shingle")
-    shared = parts.join(early, [id_column, "shingle"]).where(F.col("before") < F.col("pos")).groupBy(id_column, "pos", "before").agg(F.count("*").alias("both"), F.min("n").alias("n"), F.min("m").alias("m"))
-    near = shared.where(F.col("both") >= X.CLONE_SHARE * F.least("n", "m")).select(id_column, "pos")
+    marked = sets.withColumn("first", F.min("pos").over(Window.partitionBy(id_column, "key")))
+    repeats = marked.where(F.col("pos") > F.col("first")).select(id_column, "pos")
+    parts = marked.where(F.col("pos") == F.col("first")).select(id_column, "pos", F.size("set").alias("n"), F.explode("set").alias("shingle"))
+    places = parts.groupBy(id_column, "shingle").agg(F.collect_list(F.struct("pos", "n")).alias("places")).where(F.size("places") > 1)
+    each = places.select(id_column, "places", F.explode("places").alias("own"))
+    pairs = each.select(id_column, "own", F.explode(F.filter("places", lambda p: p["pos"] < F.col("own.pos"))).alias("early"))
+    shared = pairs.groupBy(id_column, "own", "early").agg(F.count("*").alias("both"))
+    near = shared.where(F.col("both") >= X.CLONE_SHARE * F.least("own.n", "early.n")).select(id_column, F.col("own.pos").alias("pos"))
     return near.union(repeats).distinct()
 
 
