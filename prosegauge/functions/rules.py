@@ -61,17 +61,20 @@ def undefined_acronyms(text: Column, assumed: Column, audience: Column, dictiona
     return F.when(is_expert(audience), F.array().cast("array<string>")).otherwise(F.filter(found, unknown))
 
 
-def undefined_terms(text: Column, assumed: Column, audience: Column, bare: Column | None = None) -> Column:
-    """Jargon that is neither assumed nor explained on the spot; repeats stay."""
+def undefined_terms(text: Column, assumed: Column, audience: Column, bare: Column | None = None, places: Column | None = None) -> Column:
+    """Jargon that is neither assumed nor explained on the spot; repeats stay. A text with none of it among its all_places() is ruled out first."""
     some = "|".join(X.escaped(t) for t in sorted(X.JARGON, key=lambda t: (-len(t), t)))
     found = F.regexp_extract_all(T.stripped_of_quotes(text) if bare is None else bare, F.lit(rf"(?iu)(?U)\b(?:{some})\b(?!{X.GLOSS})"), F.lit(0))
     lowered = F.filter(F.transform(found, F.lower), lambda t: ~F.array_contains(F.transform(assumed, F.lower), t))
-    return F.when(is_expert(audience), F.array().cast("array<string>")).otherwise(lowered)
+    none = is_expert(audience)
+    if places is not None:
+        none = none | ~(T.starts_at(places, [X.escaped(t) for t in X.JARGON]) | T.odd_case(F.lower(text)))
+    return F.when(none, F.array().cast("array<string>")).otherwise(lowered)
 
 
-def swaps(lowered: Column) -> Column:
-    """Occurrences of long phrases that have a short form."""
-    return T.term_hits(lowered, list(X.SHORT_FORMS))
+def swaps(lowered: Column, places: Column | None = None) -> Column:
+    """Occurrences of long phrases that have a short form; places as of all_places() save a pass."""
+    return T.term_hits(lowered, list(X.SHORT_FORMS)) if places is None else T.hits_at(places, lowered, list(X.SHORT_FORMS))
 
 
 def swap_map(lowered: Column) -> Column:
@@ -81,14 +84,16 @@ def swap_map(lowered: Column) -> Column:
     return F.map_from_entries(F.when(lowered.rlike(X.any_of(list(X.SHORT_FORMS))), F.filter(pairs, lambda p: F.rlike(lowered, edge(p["key"])))).otherwise(F.array().cast("array<struct<key:string,value:string>>")))
 
 
-def filler_parts(bare: Column) -> dict[str, Column]:
-    """Padding, pretentious words, euphemisms and filler grammar, given the text without quotes."""
-    low = F.lower(bare)
+def filler_parts(bare: Column, low: Column | None = None, places: Column | None = None) -> dict[str, Column]:
+    """Padding, pretentious words, euphemisms and filler grammar, given the text without quotes; that in lower case and its all_places() save passes."""
+    low = F.lower(bare) if low is None else low
+    at = T.term_places(low, [*X.PADDING, *X.PRETENTIOUS, *X.EUPHEMISMS], X.rule_starts()) if places is None else places
+    hits = lambda terms: T.let(at, lambda p: T.hits_at(p, low, terms)) if places is None else T.hits_at(at, low, terms)
     return {
-        "padding": T.term_hits(low, X.PADDING),
-        "pretentious": T.term_hits(low, X.PRETENTIOUS),
-        "euphemism": T.term_hits(low, X.EUPHEMISMS),
-        "grammar": reduce(lambda a, b: a + b, (T.count_any_case(bare, p) for p in X.FILLER_GRAMMAR)),
+        "padding": hits(X.PADDING),
+        "pretentious": hits(X.PRETENTIOUS),
+        "euphemism": hits(X.EUPHEMISMS),
+        "grammar": T.let(at, lambda p: T.filler_grammar(bare, low, p)) if places is None else T.filler_grammar(bare, low, at),
     }
 
 

@@ -15,6 +15,14 @@ _U = "(?dU)"
 _MARK, _NO_MARK = "\x01", "\x02"
 
 
+#: All white space of Unicode.
+_BLANKS = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+#: Words that are counted at once.
+_BLOCK = 8
+#: Letters that match others when case is ignored, but stay as they are (or become two) in lower case.
+_ODD_CASE = ("ſ", "ı", "i̇")
+
+
 def let(value: Column, body) -> Column:
     """body(value) with the value computed once, also where body uses it inside other lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -24,13 +32,17 @@ def count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(_U + pattern))
 
 
-def count_any_case(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit("(?iu)" + _U + pattern))
+def count_any_case(text: Column, pattern: str, first: str = "") -> Column:
+    """Matches whatever their case; first has the lower-case letters that a match can begin with, which are cheap to look for."""
+    also = {"i": r"\x{0130}\x{0131}", "s": r"\x{017F}", "k": r"\x{212A}"}
+    ahead = f"(?=[{''.join(c + c.upper() + also.get(c, '') for c in sorted(set(first)))}])" if first else ""
+    return F.regexp_count(text, F.lit(ahead + "(?iu)" + _U + pattern))
 
 
 def stripped_of_quotes(text: Column) -> Column:
     """Code fences, code spans and short straight-quoted strings become blanks."""
-    return reduce(lambda t, p: F.regexp_replace(t, p, " "), X.QUOTED, text)
+    marked = F.contains(text, F.lit("`")) | F.contains(text, F.lit('"'))
+    return F.when(marked, reduce(lambda t, p: F.regexp_replace(t, p, " "), X.QUOTED, text)).otherwise(text)
 
 
 def without_fences(text: Column) -> Column:
@@ -39,12 +51,13 @@ def without_fences(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Number of stretches without white space."""
-    return count(text, r"\S+")
+    """Number of stretches without white space; found by the block, as each match makes a string."""
+    blocks = F.regexp_extract_all(text, F.lit(rf"(?U)((?:\S++\s++){{{_BLOCK}}}+)|\S++"), F.lit(1))
+    return let(blocks, lambda b: F.size(b) + (_BLOCK - 1) * F.size(F.array_remove(b, "")))
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+    return F.btrim(text, F.lit(_BLANKS))
 
 
 def lines(text: Column) -> Column:
@@ -66,7 +79,7 @@ def sentences(text: Column) -> Column:
     """Sentences of three words or more, outside headings and tables, list markers off."""
     kept = F.filter(F.transform(lines(stripped_of_quotes(text)), trimmed), lambda x: (x != "") & ~x.startswith("#") & ~x.startswith("|"))
     cut = F.flatten(F.transform(kept, lambda x: F.regexp_extract_all(F.regexp_replace(x, "(?U)" + X.LEADING_MARKER, ""), F.lit(X.SENTENCE), F.lit(0))))
-    return F.filter(F.transform(cut, trimmed), lambda s: words(s) >= 3)
+    return F.filter(F.transform(cut, trimmed), lambda s: s.rlike(r"(?U)\S\s+\S+\s+\S"))
 
 
 def shingles(sentence: Column, n: int = X.SHINGLE_WORDS) -> Column:
@@ -78,25 +91,76 @@ def shingles(sentence: Column, n: int = X.SHINGLE_WORDS) -> Column:
     return let(F.regexp_extract_all(F.lower(sentence), F.lit("[a-z0-9]+"), F.lit(0)), runs)
 
 
+def clone_places(rows: Column) -> Column:
+    """M8: pos of each sentence that shares half of the smaller shingle set with an earlier one, of one document's array of (pos, sentence), by pos.
+
+    Of sentences with the same shingle set only the first is compared with others: a later one is
+    its clone already, and is like others just as the first is. Compared are only sentences with a
+    shingle that another one has too, by what they have of such shingles. No list of pairs is made.
+    """
+    none = F.array().cast("array<int>")
+    is_new = lambda sorted_, i, get=lambda x: x: (i == 0) | (get(F.get(sorted_, i - 1)) != get(F.get(sorted_, i)))
+
+    def near(firsts: Column, shared: Column) -> Column:
+        parts = F.filter(F.transform(firsts, lambda f: F.struct(f["pos"].alias("pos"), F.size(f["set"]).alias("n"), F.array_intersect(f["set"], shared).alias("part"))), lambda f: F.size(f["part"]) > 0)
+        alike = lambda x, y: F.size(F.array_intersect(x["part"], y["part"])) >= X.CLONE_SHARE * F.least(x["n"], y["n"])
+        return let(parts, lambda ps: F.transform(F.filter(ps, lambda x, i: F.exists(F.slice(ps, F.lit(1), i), lambda y: alike(x, y))), lambda x: x["pos"]))
+
+    def compared(firsts: Column) -> Column:
+        every = F.flatten(F.transform(firsts, lambda f: f["set"]))
+        shared = lambda e: let(F.sort_array(e), lambda o: F.array_distinct(F.filter(o, lambda x, i: ~is_new(o, i))))
+        return let(every, lambda e: F.when(F.size(F.array_distinct(e)) < F.size(e), let(shared(e), lambda found: near(firsts, found))).otherwise(none))
+
+    def split(keyed: Column) -> Column:
+        own = lambda first: F.filter(keyed, lambda k, i: is_new(keyed, i, lambda x: x["key"]) if first else ~is_new(keyed, i, lambda x: x["key"]))
+        firsts = F.sort_array(F.transform(own(True), lambda k: F.struct(k["pos"].alias("pos"), k["set"].alias("set"))))
+        return F.concat(F.transform(own(False), lambda k: k["pos"]), let(firsts, compared))
+
+    sets = F.filter(F.transform(rows, lambda r: F.struct(r["pos"].alias("pos"), shingles(r["sentence"]).alias("set"))), lambda r: F.size(r["set"]) > 0)
+    return let(F.sort_array(F.transform(sets, lambda r: F.struct(F.xxhash64(F.sort_array(r["set"])).alias("key"), r["pos"].alias("pos"), r["set"].alias("set")))), split)
+
+
 def first_answer(text: Column) -> Column:
     """What stands before the second numbered answer."""
     return F.element_at(F.split(text, X.SECOND_ANSWER, 2), 1)
 
 
-def term_places(lowered: Column, terms: list[str]) -> Column:
-    """Each place where one of the terms may stand, behind a mark and as long as the longest term and what follows it: one pass, however many terms."""
-    most = max(map(len, terms)) + 1
-    near = F.regexp_extract_all(lowered, F.lit(rf"(?={X.any_of(terms)})(?U:\b)(?=((?s:.){{0,{most}}}))"), F.lit(1))
+def term_places(lowered: Column, terms: list[str], starts: list[str] = ()) -> Column:
+    """Each place where one of the terms may stand or a start matches, behind a mark and as long as the longest of them and what follows it: one pass, however many terms."""
+    most = max(map(len, [*terms, *starts])) + 1
+    near = F.regexp_extract_all(lowered, F.lit(rf"(?={X.any_of(terms, starts)})(?U:\b)(?=((?s:.){{0,{most}}}))"), F.lit(1))
     return F.array_join(F.transform(near, lambda x: F.concat(F.lit(_MARK), F.translate(x, _MARK, _NO_MARK))), "")
 
 
+def starts_at(places: Column, starts: list[str]) -> Column:
+    """Whether one of the starts is among the places."""
+    return (places != "") & places.rlike(f"{_MARK}(?:{'|'.join(starts)})")
+
+
+def layers(terms: list[str]) -> list[list[str]]:
+    """The terms in few lists, so that no two terms of one list can stand at the same place."""
+    edge = lambda a, b: (a.isalnum() or a == "_") != (b.isalnum() or b == "_")
+    meet = lambda a, b: b.startswith(a) and (a == b or edge(a[-1], b[len(a)]))
+    out: list[list[str]] = []
+    for t in terms:
+        free = next((some for some in out if not any(meet(t, u) or meet(u, t) for u in some)), None)
+        if free is None:
+            out.append([t])
+        else:
+            free.append(t)
+    return out
+
+
 def hits_at(places: Column, lowered: Column, terms: list[str]) -> Column:
     """Occurrences of all terms, each counted on its own, given the text's term_places() of these terms or more.
 
-    A term that can overlap itself has fewer occurrences than places, and is counted in the text.
+    Terms that can't stand at the same place are counted together. One that can overlap itself
+    has fewer occurrences than places, and is counted in the text.
     """
-    at = lambda t: F.regexp_count(places, F.lit(rf"(?U){_MARK}{X.escaped(t)}\b"))
-    each = (F.when(at(t) > 1, count(lowered, X.term_pattern(t))).otherwise(at(t)) if overlaps_itself(t) else at(t) for t in terms)
+    at = lambda some: F.regexp_count(places, F.lit(rf"(?U){_MARK}(?:{'|'.join(map(X.escaped, some))})\b"))
+    own = [t for t in terms if overlaps_itself(t)]
+    each = [F.when(at([t]) > 1, count(lowered, X.term_pattern(t))).otherwise(at([t])) for t in own]
+    each += [at(some) for some in layers([t for t in terms if t not in own])]
     return F.when(places != "", reduce(lambda a, b: a + b, each)).otherwise(F.lit(0))
 
 
@@ -111,12 +175,30 @@ def term_hits(lowered: Column, terms: list[str]) -> Column:
     return let(term_places(lowered, terms), lambda places: hits_at(places, lowered, terms))
 
 
-def phrasing_hits(stripped: Column, lowered: Column, name: str) -> Column:
-    """Matches of a phrasing pattern; texts that lack its words are ruled out first."""
+def phrasing_hits(stripped: Column, lowered: Column, name: str, places: Column | None = None) -> Column:
+    """Matches of a phrasing pattern; texts that lack its words are ruled out first, by their sign_places() if given."""
     pattern = X.PHRASING[name] + (rf"(?!{X.AGENT})" if name == "agentless_passive" else "")
-    found = count_any_case(stripped, pattern)
-    needs = X.PHRASING_NEEDS.get(name)
-    return F.when(lowered.rlike(needs), found).otherwise(F.lit(0)) if needs else found
+    found = count_any_case(stripped, pattern, X.PHRASING_FIRST.get(name, ""))
+    may = []
+    if places is not None and name in X.PHRASING_STARTS:
+        may.append(starts_at(places, X.PHRASING_STARTS[name]))
+    if name in X.PHRASING_HOLDS:
+        may.append(reduce(lambda a, b: a | b, (F.contains(lowered, F.lit(k)) for k in X.PHRASING_HOLDS[name])))
+    if name in X.PHRASING_NEEDS:
+        may.append(lowered.rlike(X.PHRASING_NEEDS[name]))
+    return F.when(reduce(lambda a, b: a & b, may), found).otherwise(F.lit(0)) if may else found
+
+
+def odd_case(lowered: Column) -> Column:
+    """Whether a lower-case text has letters that match others only when case is ignored."""
+    return reduce(lambda a, b: a | b, (F.contains(lowered, F.lit(c)) for c in _ODD_CASE))
+
+
+def filler_grammar(bare: Column, lowered: Column, places: Column) -> Column:
+    """Matches of all patterns of filler grammar, given term_places() with their starts; texts without a pattern's start are ruled out first."""
+    odd = odd_case(lowered)
+    each = (F.when(starts_at(places, at) | odd, count_any_case(bare, p, "".join(x[0] for x in at) if p.startswith(r"\b") else "")).otherwise(F.lit(0)) for p, at in zip(X.FILLER_GRAMMAR, X.FILLER_STARTS, strict=True))
+    return F.when((places != "") | odd, reduce(lambda a, b: a + b, each)).otherwise(F.lit(0))
 
 
 def triples(text: Column) -> Column:
@@ -127,7 +209,21 @@ def triples(text: Column) -> Column:
         parts = [F.regexp_extract(match, "(?U)" + X.TRIPLE, k) for k in (1, 2, 3)]
         return reduce(lambda a, b: a & b, (F.length(p).__gt__(4) & p.rlike(X.ADJECTIVE_END) for p in parts))
 
-    return F.filter(found, padded)
+    none = F.array().cast("array<string>")
+    return F.when(text.rlike(r"(?U),\s+\w+,\s+and\s"), F.filter(found, padded)).otherwise(none)
+
+
+def _alike() -> str:
+    """Matches a lower-case text that may hold a list as noun_fragments() finds them: from the start of a sentence three items of as many words, or with one lead, then more items or the end of the sentence."""
+    gap, word = "[^a-z',\\n]*+", "[a-z']++"
+    more = lambda n: f"(?:{gap}{word}){n}" if n != "{0}" else ""
+    end = rf"(?={gap}(?:[,\n]|\z)|[^a-z',\n]*?[.!?](?U:\s))"
+    sizes = "|".join(f"{word}{more(f'{{{k}}}')}(?:{gap},{gap}{word}{more(f'{{{k}}}')}){{2}}{end}" for k in range(5))
+    lead = rf"({word}){more('{0,4}+')}(?:{gap},{gap}\1(?![a-z']){more('{0,4}+')}){{2}}{end}"
+    return rf"(?:(?<=[.!?](?U:\s))|(?m:^)){gap}(?:{sizes}|{lead})"
+
+
+_ALIKE = _alike()
 
 
 def noun_fragments(text: Column) -> Column:
@@ -145,7 +241,7 @@ def noun_fragments(text: Column) -> Column:
             & F.when(F.forall(items, lambda t: F.size(t) > 0), alike).otherwise(False)
         )
 
-    return F.filter(cores, bare)
+    return F.when(text.rlike(",[^,]*+,") & F.lower(text).rlike(_ALIKE), F.filter(cores, bare)).otherwise(F.array().cast("array<string>"))
 
 
 def staccato_runs(text: Column, most_words: int = X.STACCATO_WORDS, least: int = X.STACCATO_RUN) -> Column:
@@ -157,14 +253,14 @@ def staccato_runs(text: Column, most_words: int = X.STACCATO_WORDS, least: int =
 
 
 def staccato_of(bare: Column, most_words: int = X.STACCATO_WORDS, least: int = X.STACCATO_RUN) -> Column:
-    """D3 of a text without quotes."""
-    piece = lambda x: F.when((x == "") | x.rlike(X.LIST_START) | x.startswith("**"), F.array(F.lit(False))).otherwise(
-        F.transform(F.filter(F.transform(split_sentences(x), trimmed), lambda s: s != ""), lambda s: s.endswith(".") & words(s).between(2, most_words) & ~s.rlike("[,;:]"))
-    )
-    short = F.flatten(F.transform(F.transform(lines(bare), trimmed), piece))
-    start = F.struct(F.lit(0).alias("run"), F.lit(0).alias("runs"))
-    step = lambda a, s: F.struct(F.when(s, a["run"] + 1).otherwise(0).alias("run"), (a["runs"] + F.when(s & (a["run"] + 1 == least), 1).otherwise(0)).alias("runs"))
-    return F.aggregate(short, start, step, lambda a: a["runs"])
+    """D3 of a text without quotes: one pass makes a list with a dot for each short sentence and nothing for others, for lists, headings and blank lines."""
+    blank = r"[\s&&[^\n]]"
+    outside = rf"^{blank}*+(?:(?:[-*+#>|]|\d+[.)])[^\n]*+|(?=\n|\z))\n?"
+    short = rf"(?:[^\s,;:]++(?<![.!?]){blank}++){{1,{most_words - 1}}}+[^\s,;:]*+(?<=(\.))(?!\S)"
+    other = r"\S[^\n]*?(?:(?<=[.!?])(?=\s)|(?=\n|\z))"
+    marks = F.regexp_extract_all(bare, F.lit(f"(?dmU){outside}|{short}|{other}"), F.lit(1))
+    runs = F.regexp_count(F.array_join(marks, ","), F.lit(rf"\.(?:,\.){{{least - 1},}}+"))
+    return F.when(bare.rlike(rf"(?:\.[^.]*+){{{least}}}"), runs).when(bare.isNotNull(), 0)
 
 
 def shape(text: Column) -> dict[str, Column]:
@@ -190,8 +286,13 @@ def shape(text: Column) -> dict[str, Column]:
 
 
 def sign_places(low: Column) -> Column:
-    """term_places() of the terms of all categories."""
-    return term_places(low, [t for terms in X.category_terms().values() for t in terms])
+    """term_places() of the terms of all categories and the starts of phrasing patterns."""
+    return term_places(low, X.sign_terms(), X.sign_starts())
+
+
+def all_places(low: Column) -> Column:
+    """sign_places() and the places that the rules need besides."""
+    return term_places(low, [*X.sign_terms(), *X.rule_terms()], [*X.sign_starts(), *X.rule_starts()])
 
 
 def slop_counts(bare: Column, low: Column, places: Column) -> dict[str, Column]:
@@ -202,7 +303,7 @@ def slop_counts(bare: Column, low: Column, places: Column) -> dict[str, Column]:
     """
     return (
         {k: hits_at(places, low, t) for k, t in X.category_terms().items()}
-        | {k: phrasing_hits(bare, low, k) for k in X.PHRASING}
+        | {k: phrasing_hits(bare, low, k, places) for k in X.PHRASING}
         | {"rule_of_three": F.size(triples(bare)), "noun_list_fragment": F.size(noun_fragments(bare)), "staccato": staccato_of(bare)}
     )
 
@@ -240,7 +341,7 @@ def scaffold_score(heads: Column, items: Column, budget: Column) -> Column:
 
 def subordinates(sentence: Column) -> Column:
     """M1: clear subordinators, and unsure ones that clause evidence follows."""
-    return count_any_case(sentence, X.CLEAR_SUBORDINATORS) + count_any_case(sentence, rf"\b{X.UNSURE_SUBORDINATORS}(?={X.CLAUSE_EVIDENCE})")
+    return count_any_case(sentence, X.CLEAR_SUBORDINATORS, "wbatuisepg") + count_any_case(sentence, rf"\b{X.UNSURE_SUBORDINATORS}(?={X.CLAUSE_EVIDENCE})", "tabsud")
 
 
 def is_flat(sentence: Column, joining: Column) -> Column:
@@ -252,11 +353,17 @@ def is_flat(sentence: Column, joining: Column) -> Column:
     return F.when(label, (subordinates(rest) == 0) & ~joined(rest) & ~rest.rlike("(?U)" + X.HARD_BREAK)).otherwise((parts >= 3) & (joining == 0) & ~joined(sentence))
 
 
+def has_verb(sentence: Column) -> Column:
+    """Whether a sentence matches VERB_LIKE; endings are looked for at the end of a word, not from its start."""
+    return sentence.rlike(rf"(?iu)(?dU)(?<=\w)(?:s|ed|ing)\b|{X.VERB_WORDS}")
+
+
 def clauses(sentence: Column) -> Column:
     """M5."""
 
     def counted(joining: Column) -> Column:
-        nested = 1 + joining + count_any_case(sentence, X.COORDINATED) + count(sentence, X.HARD_BREAK)
-        return F.when(is_flat(sentence, joining) | ~sentence.rlike("(?iu)(?dU)" + X.VERB_LIKE), 1).otherwise(nested)
+        nested = 1 + joining + count_any_case(sentence, X.COORDINATED, "aboys") + count(sentence, X.HARD_BREAK)
+        return F.when(is_flat(sentence, joining), 1).otherwise(nested)
 
-    return let(subordinates(sentence), counted)
+    # most sentences without a verb need nothing else
+    return F.when(~has_verb(sentence), 1).otherwise(let(subordinates(sentence), counted))

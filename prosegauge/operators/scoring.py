@@ -13,15 +13,15 @@ RULES = tuple(f"rule{k}" for k in range(1, 8))
 
 
 def with_slop(docs: DataFrame, text_column: str = "text", keep: bool = False) -> DataFrame:
-    """Adds n_words, the struct of counts, slop (per 1,000 words, unrounded) and slop_tax; keep leaves the text without quotes (_bare) and that in lower case (_low)."""
+    """Adds n_words, the struct of counts, slop (per 1,000 words, unrounded) and slop_tax; keep leaves the text without quotes (_bare), that in lower case (_low) and its all_places() (_places)."""
     text = F.col(text_column)
-    ready = docs.withColumn("_bare", T.stripped_of_quotes(text)).withColumn("_low", F.lower("_bare")).withColumn("_places", T.sign_places(F.col("_low")))
+    ready = docs.withColumn("_bare", T.stripped_of_quotes(text)).withColumn("_low", F.lower("_bare")).withColumn("_places", (T.all_places if keep else T.sign_places)(F.col("_low")))
     made = T.slop_counts(F.col("_bare"), F.col("_low"), F.col("_places"))
-    counted = ready.withColumn("counts", F.struct(*(c.cast("int").alias(k) for k, c in made.items()))).withColumn("n_words", T.words(text)).drop("_places")
+    counted = ready.withColumn("counts", F.struct(*(c.cast("int").alias(k) for k, c in made.items()))).withColumn("n_words", T.words(text))
     names = [f.name for f in counted.schema["counts"].dataType.fields]
     rate = T.slop_rate({k: F.col(f"counts.{k}") for k in names}, F.col("n_words"))
     rated = counted.withColumn("slop", rate).withColumn("slop_tax", T.slop_tax(F.col("slop")))
-    return rated if keep else rated.drop("_bare", "_low")
+    return rated if keep else rated.drop("_bare", "_low", "_places")
 
 
 def breakdown(counts: Column, names: list[str]) -> Column:
@@ -29,14 +29,14 @@ def breakdown(counts: Column, names: list[str]) -> Column:
     return F.map_from_entries(F.filter(F.array(*(F.struct(F.lit(k).alias("key"), counts[k].alias("value")) for k in names)), lambda p: p["value"] > 0))
 
 
-def counted_rules(text: Column, bare: Column, low: Column, n: Column, facts: Column, required: Column, budget: Column, assumed: Column, audience: Column) -> dict[str, Column]:
-    """R*: the rules that need no judge (unrounded), given the text without quotes, that in lower case, and the number of words."""
-    odd = F.size(R.undefined_acronyms(text, assumed, audience, bare=bare)) + F.size(R.undefined_terms(text, assumed, audience, bare=bare))
+def counted_rules(text: Column, bare: Column, low: Column, n: Column, facts: Column, required: Column, budget: Column, assumed: Column, audience: Column, places: Column | None = None) -> dict[str, Column]:
+    """R*: the rules that need no judge (unrounded), given the text without quotes, that in lower case, and the number of words; its all_places() save passes."""
+    odd = F.size(R.undefined_acronyms(text, assumed, audience, bare=bare)) + F.size(R.undefined_terms(text, assumed, audience, bare=bare, places=places))
     return {
         "rule2": R.economy(n, facts, required, budget),
         "rule3": R.to_10(R.per_100(odd, n), X.JARGON_CEILING),
-        "rule5": R.to_10(R.per_100(R.swaps(low), n), X.SIMPLE_CEILING),
-        "rule6": R.to_10(R.per_100(R.filler_weight(R.filler_parts(bare)), n), X.FILLER_CEILING),
+        "rule5": R.to_10(R.per_100(R.swaps(low, places), n), X.SIMPLE_CEILING),
+        "rule6": R.to_10(R.per_100(R.filler_weight(R.filler_parts(bare, low, places)), n), X.FILLER_CEILING),
     }
 
 
@@ -74,7 +74,7 @@ def with_scores(docs: DataFrame, judged: bool = True, rounded: bool = False) ->
         said = {k: F.lit(10.0) for k in ("clarity", "imagery", "form")}
     heads, items = T.scaffold(text)
     covered = R.coverage(F.col("facts"), F.col("required"))
-    found = counted_rules(text, F.col("_bare"), F.col("_low"), F.col("n_words"), F.col("facts"), F.col("required"), F.col("budget"), F.col("assumed"), F.col("audience"))
+    found = counted_rules(text, F.col("_bare"), F.col("_low"), F.col("n_words"), F.col("facts"), F.col("required"), F.col("budget"), F.col("assumed"), F.col("audience"), F.col("_places"))
     merged = lambda rule, name: R.merged(digit(found[rule]), said[name]) if name in said else digit(found[rule])
     made = {
         "rule1": said["clarity"],
@@ -91,7 +91,7 @@ def with_scores(docs: DataFrame, judged: bool = True, rounded: bool = False) ->
     if judged:
         ok = F.col("judge_error").isNull()
         df = df.withColumns({c: F.when(ok, F.col(c)) for c in (*RULES, "coverage", "clarity", "score")}).drop("parsed")
-    return df.drop("_bare", "_low")
+    return df.drop("_bare", "_low", "_places")
 
 
 def run_summary(scored: DataFrame, by: str = "model", rounded: bool = False, strict: bool = False) -> DataFrame:

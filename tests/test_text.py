@@ -247,3 +247,37 @@ def test_sentence_measures_of_empty_texts(spark):
     assert sorted((r.doc_id, r.erosion > 0, r.n_sentences) for r in sentences.erosion(docs).collect()) == [(1, False, 0), (2, False, 0), (3, True, 1)]
     assert sorted((r.doc_id, r.verbosity) for r in sentences.verbosity(docs).collect()) == [(1, 0.0), (2, 0.0), (3, 0.0)]
     assert sentences.measure(docs).count() == 3
+
+
+def test_terms_that_meet_are_counted_apart(spark):
+    for terms in ([*X.sign_terms(), *X.rule_terms()], ["let go", "let", "let", "go"]):
+        made = T.layers(terms)
+        assert sorted(t for some in made for t in some) == sorted(terms)
+    assert all(not {"let", "let go"} <= set(x) and x.count("let") < 2 for x in made)
+    assert one(spark, T.term_hits(F.col("s"), ["let go", "let", "let", "go"]), s="let go, let go on") == 8
+
+
+def test_starts_hold_for_every_pattern(spark):
+    import re
+
+    said = ["There are many which", "it's worth noting", "IN ORDER TO", "due to the fact that", "for the reason of", "in the event that", "with regard to", "in spite of the fact that",
+            "the fact that x is because", "at that moment in time", "in the modern era", "what that means is", "the point here is that", "last but not least", "let me begin by", "Good question",
+            "I think it may perhaps", "might possibly", "usually tends to", "one of the key big factors", "x. Essentially y"]
+    low = F.lower("s")
+    for text, pattern in zip(said, X.FILLER_GRAMMAR, strict=True):
+        assert re.search(pattern, text, re.I), text
+        found = R.filler_parts(F.col("s"))["grammar"]
+        shared = R.filler_parts(F.col("s"), low, T.all_places(low))["grammar"]
+        want = sum(len(re.findall(p, text, re.I)) for p in X.FILLER_GRAMMAR)
+        assert one(spark, F.struct(found, shared), s=text) == (want, want), text
+    assert one(spark, R.filler_parts(F.col("s"))["grammar"], s="with regard to thıs; fırst and foremost") == 2
+
+
+def test_words_by_the_block(frame, spark):
+    for n in (0, 1, 7, 8, 9, 16, 17, 40):
+        assert one(spark, T.words(F.col("s")), s=" \u00a0" + "ab\u2003c \n" * n) == 2 * n
+
+
+def test_noun_fragments_after_the_gate(spark):
+    for s, n in (("New roads, new rails, new ports.", 1), ("Big red car, big blue, big.", 1), ("x one. Red car, blue van, old bus. More", 1), ("Red car, blue van, old big bus.", 0), ("A, b, c, d, e!", 1), ("a b, c d, is it.", 0), ("Été a, b c, d e?", 1), ("Ete a, b c, d e?", 0)):
+        assert one(spark, F.size(T.noun_fragments(F.col("s"))), s=s) == n, s
