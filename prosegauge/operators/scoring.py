@@ -154,11 +154,14 @@ def rescored(runs: DataFrame, items: DataFrame, rounded: bool = True) -> DataFra
 
 def pair_checks(scores: DataFrame, pairs: DataFrame) -> DataFrame:
     """Whether the better of each pair scores higher; pairs with a missing side drop out."""
-    return (
-        pairs.join(scores.select(F.col("name").alias("better"), F.col("score").alias("better_score")), "better")
-        .join(scores.select(F.col("name").alias("worse"), F.col("score").alias("worse_score")), "worse")
-        .select("better", "worse", (F.col("better_score") > F.col("worse_score")).alias("holds"))
-    )
+    # both sides look their score up in one join, so that scores are made once; a repeated pair or name gives as many rows as joins would
+    each = pairs.groupBy("better", "worse").agg(F.count("*").alias("times"))
+    sides = each.select("*", F.inline(F.array(*(F.struct(F.lit(side).alias("side"), F.col(side).alias("name")) for side in ("better", "worse")))))
+    found = sides.join(scores.select("name", F.struct("score").alias("found")), "name")
+    of = lambda side: F.collect_list(F.when(F.col("side") == side, F.col("found"))).alias(f"{side}s")
+    both = found.groupBy("better", "worse", "times").agg(of("better"), of("worse"))
+    crossed = both.select("better", "worse", "times", F.explode("betters").alias("b"), "worses").select("better", "worse", "times", "b", F.explode("worses").alias("w"))
+    return crossed.select("better", "worse", (F.col("b.score") > F.col("w.score")).alias("holds"), F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))).alias("_n")).drop("_n")
 
 
 def rejudged(rows: DataFrame, judgements: DataFrame, key: str) -> DataFrame:

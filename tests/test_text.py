@@ -249,6 +249,19 @@ def test_sentence_measures_of_empty_texts(spark):
     assert sentences.measure(docs).count() == 3
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pair_checks_make_scores_once_and_keep_repeats(spark, tmp_path):
+    spark.createDataFrame([("a", 2.0), ("b", 1.0), ("b", 3.0), ("c", None)], "name string, score double").write.parquet(str(tmp_path / "s"))
+    scores = spark.read.parquet(str(tmp_path / "s"))
+    pairs = spark.createDataFrame([("a", "b"), ("a", "b"), ("a", "c"), ("a", "z")], "better string, worse string")
+    made = scoring.pair_checks(scores, pairs)
+    assert plan(made).count("FileScan") == 1
+    assert sorted(map(tuple, made.collect()), key=str) == sorted([("a", "b", True), ("a", "b", False)] * 2 + [("a", "c", None)], key=str)
+
+
 def test_terms_that_meet_are_counted_apart(spark):
     for terms in ([*X.sign_terms(), *X.rule_terms()], ["let go", "let", "let", "go"]):
         made = T.layers(terms)
