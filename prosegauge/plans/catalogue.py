@@ -446,7 +446,7 @@ def erosion(spark, sf_dir):
 
 @query(f"WITH {_SENTS}, {S.clone_ctes('sents', 'doc_id')} SELECT * FROM clones")
 def clones(spark, sf_dir):
-    return sentences.clones(sents(spark, sf_dir))
+    return sentences.clones_in(docs(spark, sf_dir))
 
 
 _VERBOSE = f"{_SENTS}, {S.clone_ctes('sents', 'doc_id')}, each AS (SELECT doc_id, pos, sentence AS text FROM sents), {S.slop_ctes('each', 'doc_id, pos')}"

@@ -253,6 +253,29 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_verbosity_and_measure_read_texts_once_and_shuffle_sums(spark, tmp_path, frame):
+    frame.write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    for made in (sentences.verbosity(rows), sentences.measure(rows)):
+        text = plan(made)
+        assert text.count("FileScan") == 1 and "Join" not in text and text.count("Exchange") == 1
+    assert "Exchange" not in plan(sentences.clones_in(rows))
+
+
+def test_measure_is_erosion_and_verbosity(frame):
+    worn = {r[0]: round(r[1], 3) for r in sentences.erosion(frame).collect()}
+    said = {r[0]: round(r[1], 3) for r in sentences.verbosity(frame).collect()}
+    got = {r["doc_id"]: (r["erosion"], r["verbosity"]) for r in sentences.measure(frame).collect()}
+    assert got == {k: (pytest.approx(worn[k], abs=1e-9), pytest.approx(said[k], abs=1e-9)) for k in worn}
+
+
+def test_clones_in_rows_equal_clones_of_sentences(frame, texts):
+    got = {}
+    for doc, pos in sentences.clones_in(frame).collect():
+        got.setdefault(doc, []).append(pos)
+    assert [sorted(got.get(i, [])) for i in range(len(texts))] == [P.clones(x) for x in texts]
+
+
 def test_pair_checks_make_scores_once_and_keep_repeats(spark, tmp_path):
     spark.createDataFrame([("a", 2.0), ("b", 1.0), ("b", 3.0), ("c", None)], "name string, score double").write.parquet(str(tmp_path / "s"))
     scores = spark.read.parquet(str(tmp_path / "s"))
@@ -294,3 +317,10 @@ def test_words_by_the_block(frame, spark):
 def test_noun_fragments_after_the_gate(spark):
     for s, n in (("New roads, new rails, new ports.", 1), ("Big red car, big blue, big.", 1), ("x one. Red car, blue van, old bus. More", 1), ("Red car, blue van, old big bus.", 0), ("A, b, c, d, e!", 1), ("a b, c d, is it.", 0), ("Été a, b c, d e?", 1), ("Ete a, b c, d e?", 0)):
         assert one(spark, F.size(T.noun_fragments(F.col("s"))), s=s) == n, s
+
+
+def test_verbs_by_their_endings(spark):
+    import re
+
+    for s in ("s", "ed", "is", "Runs here", "a thing", "ing ed s", "they would", "no verb here", "walkedx", "Being", "x_s"):
+        assert one(spark, T.has_verb(F.col("s")), s=s) == bool(re.search(X.VERB_LIKE, s, re.I)), s
