@@ -57,7 +57,7 @@ def undefined_acronyms(text: Column, assumed: Column, audience: Column, dictiona
         defined = F.rlike(text, F.concat(quoted(a), F.lit(r"(?U:\s)*\([^)]{4,}\)"))) | F.rlike(text, F.concat(F.lit(r"\([^)]*"), quoted(a), F.lit(r"[^)]*\)")))
         return ~F.array_contains(known, F.regexp_replace(a, "s+$", "")) & ~F.array_contains(shouted, up) & ~F.array_contains(shouted, base) & ~defined
 
-    found = F.array_distinct(F.regexp_extract_all(T.stripped_of_quotes(text) if bare is None else bare, F.lit("(?U)" + X.ACRONYM), F.lit(0)))
+    found = F.array_distinct(F.regexp_extract_all(T.stripped_of_quotes(text) if bare is None else bare, F.lit("(?U)" + X.ACRONYM_LETTER_FIRST), F.lit(0)))
     return F.when(is_expert(audience), F.array().cast("array<string>")).otherwise(F.filter(found, unknown))
 
 

@@ -69,10 +69,11 @@ def split_sentences(text: Column) -> Column:
     return F.split(text, r"(?<=[.!?])(?U:\s)+", -1)
 
 
-def prose_lines(text: Column) -> Column:
-    """T4: trimmed lines that are running prose."""
+def prose_lines(text: Column, also=None) -> Column:
+    """T4: trimmed lines that are running prose; also is a further test, which is made first."""
     keep = lambda x: (x != "") & ~x.endswith(":") & ~x.rlike(X.LIST_START) & ~(x.startswith("**") & x.endswith("**")) & x.rlike(r"(?d)[.!?](?:(?U:\s)|$)")
-    return F.filter(F.transform(lines(text), trimmed), keep)
+    some = lines(text) if also is None else F.filter(lines(text), also)
+    return F.filter(F.transform(some, trimmed), keep)
 
 
 def sentences(text: Column) -> Column:
@@ -128,8 +129,11 @@ def first_answer(text: Column) -> Column:
 def term_places(lowered: Column, terms: list[str], starts: list[str] = ()) -> Column:
     """Each place where one of the terms may stand or a start matches, behind a mark and as long as the longest of them and what follows it: one pass, however many terms."""
     most = max(map(len, [*terms, *starts])) + 1
-    near = F.regexp_extract_all(lowered, F.lit(rf"(?={X.any_of(terms, starts)})(?U:\b)(?=((?s:.){{0,{most}}}))"), F.lit(1))
-    return F.array_join(F.transform(near, lambda x: F.concat(F.lit(_MARK), F.translate(x, _MARK, _NO_MARK))), "")
+    # goes from word to word, so that most signs are passed by in tight loops; the last match is the end of the text
+    skip = "(?>[a-z]*)(?>[^a-z]*)"
+    others = rf"(?>[^a-z]*)(?:(?:{X.none_of(terms, starts)}|(?U:\B)[a-z]){skip})*+"
+    near = F.regexp_extract_all(lowered, F.lit(rf"{others}(?:(?=((?s:.){{0,{most}}}))[a-z]{skip}|\z)"), F.lit(1))
+    return F.array_join(F.transform(F.array_remove(near, ""), lambda x: F.concat(F.lit(_MARK), F.translate(x, _MARK, _NO_MARK))), "")
 
 
 def starts_at(places: Column, starts: list[str]) -> Column:
@@ -196,31 +200,39 @@ def odd_case(lowered: Column) -> Column:
 
 def filler_grammar(bare: Column, lowered: Column, places: Column) -> Column:
     """Matches of all patterns of filler grammar, given term_places() with their starts; texts without a pattern's start are ruled out first."""
-    odd = odd_case(lowered)
-    each = (F.when(starts_at(places, at) | odd, count_any_case(bare, p, "".join(x[0] for x in at) if p.startswith(r"\b") else "")).otherwise(F.lit(0)) for p, at in zip(X.FILLER_GRAMMAR, X.FILLER_STARTS, strict=True))
-    return F.when((places != "") | odd, reduce(lambda a, b: a + b, each)).otherwise(F.lit(0))
+    in_text = [count_any_case(bare, p, "".join(x[0] for x in at) if p.startswith(r"\b") else "") for p, at in zip(X.FILLER_GRAMMAR, X.FILLER_STARTS, strict=True)]
+    each = [F.when(starts_at(places, at), found).otherwise(F.lit(0)) for found, at in zip(in_text, X.FILLER_STARTS, strict=True)]
+    total = lambda counts: reduce(lambda a, b: a + b, counts)
+    return F.when(odd_case(lowered), total(in_text)).when(starts_at(places, [p for at in X.FILLER_STARTS for p in at]), total(each)).otherwise(F.lit(0))
 
 
 def triples(text: Column) -> Column:
     """`a, b, and c` of three longer adjectives, in prose."""
-    found = F.flatten(F.transform(prose_lines(text), lambda x: F.regexp_extract_all(x, F.lit("(?U)" + X.TRIPLE), F.lit(0))))
+    may = lambda x: x.rlike(r"(?U),\s+\w+,\s+and\s")
+    found = F.flatten(F.transform(prose_lines(text, may), lambda x: F.regexp_extract_all(x, F.lit("(?U)" + X.TRIPLE), F.lit(0))))
 
     def padded(match: Column) -> Column:
         parts = [F.regexp_extract(match, "(?U)" + X.TRIPLE, k) for k in (1, 2, 3)]
         return reduce(lambda a, b: a & b, (F.length(p).__gt__(4) & p.rlike(X.ADJECTIVE_END) for p in parts))
 
     none = F.array().cast("array<string>")
-    return F.when(text.rlike(r"(?U),\s+\w+,\s+and\s"), F.filter(found, padded)).otherwise(none)
+    return F.when(may(text), F.filter(found, padded)).otherwise(none)
 
 
 def _alike() -> str:
     """Matches a lower-case text that may hold a list as noun_fragments() finds them: from the start of a sentence three items of as many words, or with one lead, then more items or the end of the sentence."""
-    gap, word = "[^a-z',\\n]*+", "[a-z']++"
+    gap, word = r"(?>[^a-z',\n]*)", "(?>[a-z']+)"
     more = lambda n: f"(?:{gap}{word}){n}" if n != "{0}" else ""
     end = rf"(?={gap}(?:[,\n]|\z)|[^a-z',\n]*?[.!?](?U:\s))"
     sizes = "|".join(f"{word}{more(f'{{{k}}}')}(?:{gap},{gap}{word}{more(f'{{{k}}}')}){{2}}{end}" for k in range(5))
-    lead = rf"({word}){more('{0,4}+')}(?:{gap},{gap}\1(?![a-z']){more('{0,4}+')}){{2}}{end}"
-    return rf"(?:(?<=[.!?](?U:\s))|(?m:^)){gap}(?:{sizes}|{lead})"
+    # what follows the last lead isn't told: words of the next sentence would be taken for its own
+    lead = rf"({word}){more('{0,4}+')}{gap},{gap}\1(?![a-z']){more('{0,4}+')}{gap},{gap}\1(?![a-z'])"
+    item = rf"(?:{word}{gap}){{1,5}}+"
+    found = rf"{gap}(?={item},{gap}{item},{gap}{word})(?:{sizes}|{lead})"
+    # most sentences are told apart by what follows their first five words, which needn't be read again
+    inside = r"(?>[^a-z',.!?\n]*)"
+    other = rf"{inside}(?:{word}{inside}){{0,5}}+(?!,{gap}{item},{gap}{word}|[.!?]\S)"
+    return rf"\A(?:(?:{other}|(?!{found}))(?>[^.!?\n]*)[.!?\n])*+(?={found})"
 
 
 _ALIKE = _alike()
@@ -228,20 +240,24 @@ _ALIKE = _alike()
 
 def noun_fragments(text: Column) -> Column:
     """Sentences that are bare lists of short verbless items, alike in lead or length."""
-    cores = F.transform(F.flatten(F.transform(prose_lines(text), split_sentences)), trimmed)
+    may = lambda x: F.lower(x).rlike(_ALIKE)
+    cores = F.filter(F.transform(F.flatten(F.transform(prose_lines(text, may), split_sentences)), trimmed), may)
     verbs = F.array(*map(F.lit, X.FRAGMENT_VERBS))
 
     def bare(core: Column) -> Column:
         body = trimmed(F.regexp_replace(core, r"[.!?]+\z", ""))
-        items = F.transform(F.split(body, ",", -1), lambda i: F.regexp_extract_all(F.lower(i), F.lit("[a-z']+"), F.lit(0)))
+        split = F.transform(F.split(body, ",", -1), lambda i: F.regexp_extract_all(F.lower(i), F.lit("[a-z']+"), F.lit(0)))
+        return ~core.contains("`") & ~core.contains("](") & ~body.rlike(r"(?i),(?U:\s)*(?:and|or)\b") & let(split, listed)
+
+    def listed(items: Column) -> Column:
         alike = (F.size(F.array_distinct(F.transform(items, lambda t: F.element_at(t, 1)))) == 1) | (F.size(F.array_distinct(F.transform(items, F.size))) == 1)
         return (
-            ~core.contains("`") & ~core.contains("](") & ~body.rlike(r"(?i),(?U:\s)*(?:and|or)\b") & (F.size(items) >= 3)
+            (F.size(items) >= 3)
             & F.forall(items, lambda t: F.size(t).between(1, 5) & ~F.arrays_overlap(t, verbs))
             & F.when(F.forall(items, lambda t: F.size(t) > 0), alike).otherwise(False)
         )
 
-    return F.when(text.rlike(",[^,]*+,") & F.lower(text).rlike(_ALIKE), F.filter(cores, bare)).otherwise(F.array().cast("array<string>"))
+    return F.when(text.rlike(",[^,]*+,") & may(text), F.filter(cores, bare)).otherwise(F.array().cast("array<string>"))
 
 
 def staccato_runs(text: Column, most_words: int = X.STACCATO_WORDS, least: int = X.STACCATO_RUN) -> Column:
@@ -254,10 +270,10 @@ def staccato_runs(text: Column, most_words: int = X.STACCATO_WORDS, least: int =
 
 def staccato_of(bare: Column, most_words: int = X.STACCATO_WORDS, least: int = X.STACCATO_RUN) -> Column:
     """D3 of a text without quotes: one pass makes a list with a dot for each short sentence and nothing for others, for lists, headings and blank lines."""
-    blank = r"[\s&&[^\n]]"
-    outside = rf"^{blank}*+(?:(?:[-*+#>|]|\d+[.)])[^\n]*+|(?=\n|\z))\n?"
-    short = rf"(?:[^\s,;:]++(?<![.!?]){blank}++){{1,{most_words - 1}}}+[^\s,;:]*+(?<=(\.))(?!\S)"
-    other = r"\S[^\n]*?(?:(?<=[.!?])(?=\s)|(?=\n|\z))"
+    # independent groups of greedy loops are faster than possessive loops
+    outside = r"^(?>[^\S\n]*)(?:(?:[-*+#>|]|\d+[.)])[^\n]*+|(?=\n|\z))\n?"
+    short = rf"(?:(?>[^\s,;:]+)(?<![.!?])(?>[^\S\n]+)){{1,{most_words - 1}}}+(?>[^\s,;:]*)(?<=(\.))(?!\S)"
+    other = r"(?=\S)(?>[^.!?\n]*)(?:(?>[.!?]+)(?=\S)(?>[^.!?\n]*))*+[.!?]*"
     marks = F.regexp_extract_all(bare, F.lit(f"(?dmU){outside}|{short}|{other}"), F.lit(1))
     runs = F.regexp_count(F.array_join(marks, ","), F.lit(rf"\.(?:,\.){{{least - 1},}}+"))
     return F.when(bare.rlike(rf"(?:\.[^.]*+){{{least}}}"), runs).when(bare.isNotNull(), 0)

@@ -324,3 +324,51 @@ def test_verbs_by_their_endings(spark):
 
     for s in ("s", "ed", "is", "Runs here", "a thing", "ing ed s", "they would", "no verb here", "walkedx", "Being", "x_s"):
         assert one(spark, T.has_verb(F.col("s")), s=s) == bool(re.search(X.VERB_LIKE, s, re.I)), s
+
+
+def test_word_by_word_places_are_all_places(spark):
+    """none_of() goes by no place where a term may stand: one letter tree against each term on its own."""
+    import re
+
+    terms, starts = ["delve", "the part x", "at", "end-to-end", "it's so", "no."], ["not", "the (?:fact|fun) is", "it(?:'s| is) worth", "may po(?:tenti|ssib)"]
+    bits = ["delve", "the", "part", "x", "at", "end-to-end", "it's", "so", "no.", "not", "fact", "fun", "is", "worth", "may", "potential", "posit", "then", "édelve", "1at", "_not", "-", "—", "\n", ".", "'"]
+    rng = random.Random(7)
+    made = ["", "at", "\U0001f600delve", *("".join(rng.choice(bits) + rng.choice(["", " ", " "]) for _ in range(rng.randint(1, 25))) for _ in range(300))]
+    most = max(map(len, [*terms, *starts])) + 1
+    plain = re.compile(rf"(?=(?<![a-z])\b(?:{'|'.join([*map(re.escape, terms), *starts])}))(?=((?s:.){{0,{most}}}))")
+    want = ["".join("\x01" + m[1] for m in plain.finditer(t)) for t in made]
+    rows = spark.createDataFrame(list(enumerate(made)), "doc_id long, low string")
+    assert column(rows, T.term_places(F.col("low"), terms, starts)) == want
+    assert "(?!" in X.none_of(terms, starts) and sum(map(bool, want)) > 200
+
+
+def test_filler_grammar_looks_for_odd_letters_once():
+    from pyspark.sql import SparkSession
+
+    assert SparkSession.getActiveSession() is not None
+    plan = T.filler_grammar(F.col("bare"), F.col("low"), F.col("places"))._jc.toString().lower()
+    assert plan.count("contains(low") <= 3
+
+
+def test_alike_lists_pass_the_gate(frame, spark):
+    """No text with a noun fragment is ruled out, however its sentences begin and end."""
+    rng = random.Random(9)
+    bits = ["new roads", "new rails", "ports", "old", "v1.2 ports", "it", "Ünew ways", "ten red big dogs now", "a b c d e f", "“new", "don't"]
+    made = ["".join(rng.choice(bits) + rng.choice([", ", ", ", ",", ". ", ". ", ".", "! ", "\n", " "]) for _ in range(rng.randint(3, 16))) + rng.choice([".", "", "\n"]) for _ in range(600)]
+    rows = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").union(frame)
+    with_gate = column(rows, F.size(T.noun_fragments(F.col("text"))))
+    gate, T._ALIKE = T._ALIKE, ""
+    try:
+        assert column(rows, F.size(T.noun_fragments(F.col("text")))) == with_gate
+    finally:
+        T._ALIKE = gate
+    assert sum(map(bool, with_gate)) > 20
+
+
+def test_staccato_reads_sentences_in_bulk(spark):
+    rng = random.Random(11)
+    bits = ["Go now fast.", "Stop.", "Run to me.", "Wait...", "v1.2 is out.", "Is it so?", "one, two.", "a b c d e f g.", "\n", "\n\n", "- item one.", "**Bold**", "No.end of it", "Ünï go.", "?!"]
+    made = [rng.choice(["", " "]).join(rng.choice(bits) + rng.choice([" ", " ", "  ", "\n"]) for _ in range(rng.randint(1, 14))) for _ in range(400)]
+    rows = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    assert column(rows, T.staccato_runs(F.col("text"))) == [P.staccato(t) for t in made]
+    assert ".*?" not in T.staccato_of(F.col("text"))._jc.toString() and "[^\\n]*?" not in T.staccato_of(F.col("text"))._jc.toString()
